@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presetlake.llm.common import store
+
 DIVISOR, LONG = 3, 50
 
 
@@ -26,12 +28,11 @@ def _chunks(lines: str) -> str:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, sig, lines, ends: the row as a struct, so that no column of it can clash."""
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lined = whole.select("row", "id", F.xxhash64("text").alias("sig"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    return lined.withColumn("ends", F.expr(_chunks("lines")))
+    """row, id, sig: the row as a struct, so that no column of it can clash; only this is shuffled, never the lines."""
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("sig"))
 
 
+_LINES = "split(coalesce(text, ''), '\n')"
 _SPANS = "transform(ends, (e, k) -> struct(if(k = 0, 1, ends[k - 1] + 1) as lo, if(k = 0, e, e - ends[k - 1]) as n))"
 #: Chunks that may be removed: with a word, and of two lines or one long line.
 _WORTH = f"filter({_SPANS}, c -> (c.n > 1 or length(lines[c.lo - 1]) - length(replace(lines[c.lo - 1], ' ', '')) >= {LONG}) and array_join(slice(lines, c.lo, c.n), '') rlike '[^ \\\\t\\\\n\\\\x0b\\\\f\\\\r]')"
@@ -41,6 +42,27 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
     return left["id"].eqNullSafe(right["rid"]) & (left["sig"] == right["rsig"])
 
 
+def _by_document(chunks: DataFrame, name: str, *fields: str) -> DataFrame:
+    """The chunks of each document as one array, which its own number of chunks bounds."""
+    return chunks.groupBy(F.col("id").alias("rid"), F.col("sig").alias("rsig")).agg(F.collect_set(F.struct(*fields)).alias(name))
+
+
+def _gone(marked: DataFrame, text_col: str) -> DataFrame:
+    """rid, rsig, gone: the chunks (lo, n) that each document loses; documents that lose none have no row."""
+    split = marked.select("id", "sig", F.col("row").getField(text_col).alias("text")).select("id", "sig", F.expr(_LINES).alias("lines"))
+    worth = split.withColumn("ends", F.expr(_chunks("lines"))).select("id", "sig", F.explode(F.expr(f"transform({_WORTH}, c -> struct(c.lo as lo, c.n as n, xxhash64(slice(lines, c.lo, c.n)) as h))")).alias("c"))
+    hashed = store(worth.select("id", "sig", "c.lo", "c.n", "c.h"))
+    again = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    asked = _by_document(hashed.join(again, "h", "left_semi"), "asked", "lo", "n")
+    texts = marked.select("id", "sig", F.col("row").getField(text_col).alias("text"))
+    some = texts.join(asked, _same(texts, asked)).select("id", "sig", "asked", F.expr(_LINES).alias("lines"))
+    pieces = some.select("id", "sig", F.explode(F.expr("transform(asked, c -> struct(c.lo as lo, c.n as n, array_join(slice(lines, c.lo, c.n), '\n') as bytes))")).alias("c")).select("id", "sig", "c.*")
+    firsts = pieces.groupBy("bytes").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "sig", "lo")).alias("first")).where("times > 1").select(F.sha2("bytes", 256).alias("digest"), "first")
+    named = pieces.select("id", "sig", "lo", "n", F.sha2("bytes", 256).alias("digest"))
+    copies = named.join(firsts, "digest").where(~F.struct("id", "sig", "lo").eqNullSafe(F.col("first")))
+    return _by_document(copies, "gone", "lo", "n")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (a struct of all columns), ``new_text, n_lines, n_removed`` of each row.
 
@@ -48,30 +70,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     agree in id and text are one document: they are edited alike. Null ids sort first. Ties cannot occur, as a place has
     one chunk.
 
-    Shuffles: chunk hashes without text; the documents once by id, of which only those with a repeated hash go on; and
-    the texts of chunks with a repeated hash, pre-aggregated by their bytes, so copies of one passage meet as one row
-    from each task.
+    Shuffles: chunk hashes without text; the texts by id, for the chunks with a repeated hash; the bytes of these,
+    pre-aggregated, so copies of one passage meet as one row from each task, which then stands by its SHA-256 for the
+    join with its places; and the documents once by id, to be edited.
     """
-    base = _marked(docs, id_col, text_col)
-    hashed = base.select("id", "sig", F.explode(F.expr(f"transform({_WORTH}, c -> struct(c.lo as lo, xxhash64(slice(lines, c.lo, c.n)) as h))")).alias("c")).select("id", "sig", "c.lo", "c.h")
-    again = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    asked = hashed.join(again, "h", "left_semi").groupBy(F.col("id").alias("rid"), F.col("sig").alias("rsig")).agg(F.collect_set("lo").alias("asked"))
-    joined = base.join(asked, _same(base, asked), "left").drop("rid", "rsig")
-    plain = joined.where("asked is null").select("row", "lines", F.lit(None).cast("array<int>").alias("gone"), "ends")
-    some = joined.where("asked is not null")
-    pieces = some.select("id", "sig", F.explode(F.expr(f"transform(filter({_SPANS}, c -> array_contains(asked, c.lo)), c -> struct(c.lo as lo, array_join(slice(lines, c.lo, c.n), '\n') as bytes))")).alias("c")).select("id", "sig", "c.lo", "c.bytes")
-    firsts = pieces.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sig", "lo")).alias("first")).where("n > 1").select(F.col("bytes").alias("same"), "first")
-    copies = pieces.join(firsts, F.col("bytes") == F.col("same")).where(~F.struct("id", "sig", "lo").eqNullSafe(F.col("first")))
-    gone = copies.groupBy(F.col("id").alias("rid"), F.col("sig").alias("rsig")).agg(F.collect_set("lo").alias("gone"))
-    edited = some.join(gone, _same(some, gone), "left").select("row", "lines", "gone", "ends")
-    kept = f"filter({_SPANS}, c -> gone is null or not array_contains(gone, c.lo))"
-    both = plain.unionByName(edited).withColumn("gone_n", F.expr(f"aggregate(filter({_SPANS}, c -> array_contains(gone, c.lo)), 0, (a, c) -> a + c.n)"))
-    text = F.col("row").getField(text_col)
-    return both.select(
+    marked = _marked(docs, id_col, text_col)
+    gone = store(_gone(marked, text_col))
+    joined = marked.join(gone, _same(marked, gone), "left").select("row", F.array_sort("gone").alias("gone"), F.col("row").getField(text_col).alias("text"))
+    lined = joined.withColumn("lines", F.expr(_LINES))
+    gaps = "transform(sequence(0, size(gone)), k -> struct(if(k = 0, 1, gone[k - 1].lo + gone[k - 1].n) as a, if(k = size(gone), size(lines) + 1, gone[k].lo) as b))"
+    kept = f"flatten(transform(filter({gaps}, g -> g.b > g.a), g -> slice(lines, g.a, g.b - g.a)))"
+    return lined.select(
         "row",
-        F.when(F.coalesce("gone_n", F.lit(0)) == 0, text).otherwise(F.expr(f"array_join(flatten(transform({kept}, c -> slice(lines, c.lo, c.n))), '\n')")).alias("new_text"),
-        F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.coalesce("gone_n", F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(f"array_join({kept}, '\n')")).alias("new_text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.coalesce(F.expr("aggregate(gone, 0L, (a, c) -> a + c.n)"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
