@@ -55,7 +55,7 @@ def _gone(marked: DataFrame, text_col: str) -> DataFrame:
     again = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
     asked = _by_document(hashed.join(again, "h", "left_semi"), "asked", "lo", "n")
     texts = marked.select("id", "sig", F.col("row").getField(text_col).alias("text"))
-    some = texts.join(asked, _same(texts, asked)).select("id", "sig", "asked", F.expr(_LINES).alias("lines"))
+    some = texts.join(asked.hint("merge"), _same(texts, asked)).select("id", "sig", "asked", F.expr(_LINES).alias("lines"))
     pieces = some.select("id", "sig", F.explode(F.expr("transform(asked, c -> struct(c.lo as lo, c.n as n, array_join(slice(lines, c.lo, c.n), '\n') as bytes))")).alias("c")).select("id", "sig", "c.*")
     firsts = pieces.groupBy("bytes").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "sig", "lo")).alias("first")).where("times > 1").select(F.sha2("bytes", 256).alias("digest"), "first")
     named = pieces.select("id", "sig", "lo", "n", F.sha2("bytes", 256).alias("digest"))
@@ -72,11 +72,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Shuffles: chunk hashes without text; the texts by id, for the chunks with a repeated hash; the bytes of these,
     pre-aggregated, so copies of one passage meet as one row from each task, which then stands by its SHA-256 for the
-    join with its places; and the documents once by id, to be edited.
+    join with its places; and the documents once by id, to be edited. What joins the documents grows with the corpus and
+    its arrays are far larger than their files, so these joins are told not to broadcast it.
     """
     marked = _marked(docs, id_col, text_col)
     gone = store(_gone(marked, text_col))
-    joined = marked.join(gone, _same(marked, gone), "left").select("row", F.array_sort("gone").alias("gone"), F.col("row").getField(text_col).alias("text"))
+    joined = marked.join(gone.hint("merge"), _same(marked, gone), "left").select("row", F.array_sort("gone").alias("gone"), F.col("row").getField(text_col).alias("text"))
     lined = joined.withColumn("lines", F.expr(_LINES))
     gaps = "transform(sequence(0, size(gone)), k -> struct(if(k = 0, 1, gone[k - 1].lo + gone[k - 1].n) as a, if(k = size(gone), size(lines) + 1, gone[k].lo) as b))"
     kept = f"flatten(transform(filter({gaps}, g -> g.b > g.a), g -> slice(lines, g.a, g.b - g.a)))"
