@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Container
 
-_PIECES = re.compile(r"'(?:[^']|'')*'|\{[^{}]*\}(?:\s*\.\s*[A-Za-z_]\w*)?|`[^`]*`|\"[^\"]*\"|[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*|\d+(?:\.\d+)?|\.\s*[A-Za-z_]\w*|\s+|.", re.S)
+_PIECES = re.compile(r"'(?:[^']|'')*'|\{[^{}]*\}(?:\.[A-Za-z_]\w*)?|`[^`]*`|\"[^\"]*\"|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*|\d+(?:\.\d+)?|\.[A-Za-z_]\w*|\s+|.", re.S)
 _AGGREGATE = re.compile(r"\b(?:sum|count|avg|min|max)\s*\(", re.I)
 _BARE_SELECT = re.compile(r"^\(\s*select\s+(?P<what>.+)\)$", re.I | re.S)
 
