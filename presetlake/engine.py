@@ -41,28 +41,42 @@ class Engine:
         """``model, preset, filters, sorts, offset, limit`` to nested rows; with ``unique_by`` to a column ``value``."""
         if request.get("unique_by"):
             return self._page(self._distinct(request), [(F.col("value"), False)], request)
+        return self._rows(request, page_first=_number(request, "limit") > 0)
+
+    def _rows(self, request: dict, page_first: bool) -> DataFrame:
+        """``page_first`` cuts the page before what only the output needs is joined; it can't, where joins repeat root rows."""
         frame = self._frame(request)
         preset = model_preset(frame.root.model, request.get("preset") or "")
         sorts = _listed(request.get("sorts"))
         used = [p for s in sorts for p in self._sort_paths(frame, preset, s)]
         filters.apply(frame, request.get("filters"), used)
         order = sort_columns(frame.context, frame, preset, sorts)
-        shape = Shape(frame, preset)
         names = [frame.context.fresh("s") for _ in order]
+        hidden = [c.alias(n) for n, (c, _) in zip(names, order)]
         keys = frame.root.keys()
-        wanted = dict(shape.columns)
-        if not frame.many:
-            wanted |= dict.fromkeys(keys)  # for the tie break
-        rows = frame.df.select(*(F.col(f"`{c}`") for c in wanted), *(c.alias(n) for n, (c, _) in zip(names, order)))
-        if frame.many:
-            rows = rows.distinct()
         by = [_sorted(F.col(n), down) for n, (_, down) in zip(names, order)]
-        by += [F.col(f"`{k}`").asc_nulls_last() for k in keys if k in wanted]
-        page, limit = self._sliced(rows, by if order or _number(request, "limit") or _number(request, "offset") else [], request)
-        paged = page is not rows
-        made = shape.hydrate(page, page if paged and (shape.tails or shape.late) else None, few=0 < limit <= BROADCAST_PAGE)
-        if order and (shape.tails or shape.late):
-            made = made.orderBy(*by)
+        if page_first and not frame.many:
+            by += [F.col(f"`{k}`").asc_nulls_last() for k in keys]
+            page, limit = self._sliced(frame.df.select("*", *hidden), by, request)
+            frame.turn_page(page, few=limit <= BROADCAST_PAGE)
+            shape = Shape(frame, preset)
+            if frame.many:
+                return self._rows(request, page_first=False)
+            made = shape.hydrate(frame.df)
+        else:
+            shape = Shape(frame, preset)
+            wanted = dict(shape.columns)
+            if not frame.many:
+                wanted |= dict.fromkeys(keys)  # for the tie break
+            rows = frame.df.select(*(F.col(f"`{c}`") for c in wanted), *hidden)
+            if frame.many:
+                rows = rows.distinct()
+            by += [F.col(f"`{k}`").asc_nulls_last() for k in keys if k in wanted]
+            cut = _number(request, "limit") or _number(request, "offset")
+            page, _ = self._sliced(rows, by if order or cut else [], request)
+            made = shape.hydrate(page, page if cut and (shape.tails or shape.late) else None)
+        if order and made is not page:
+            made = made.orderBy(*by)  # joins lose the order
         return made.select(*shape.outputs())
 
     def _sliced(self, rows: DataFrame, by: list, request: dict) -> tuple[DataFrame, int]:

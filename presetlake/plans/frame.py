@@ -76,6 +76,30 @@ class Frame:
         self.df, node = self._table(model)
         self.nodes: dict[Path, Node] = {(): node}
         self._computed: dict[tuple, str] = {}
+        self.page: DataFrame | None = None
+        self.few = False
+        self._reached: dict[Path, DataFrame] = {}
+
+    def turn_page(self, page: DataFrame, few: bool) -> None:
+        """Go on from the rows of a page; ``few`` says that a limit bounds them well enough to be broadcast.
+
+        What is joined from now on is first reduced to the rows that the page reaches, step by step, so that no large
+        table is shuffled for the sake of a page.
+        """
+        self.df, self.page, self.few = page, page, few
+        self._reached = dict.fromkeys(self.nodes, page)
+
+    def reached(self, path: Path) -> DataFrame | None:
+        """Rows that have the node's columns, for the page only; None without a page."""
+        return self._reached.get(path)
+
+    def reduce(self, rows: DataFrame, column: Column, source: DataFrame | None, key: Column) -> DataFrame:
+        """The rows whose ``column`` is a ``key`` of the source; all rows if there is no source."""
+        if source is None:
+            return rows
+        name = self.context.fresh("w")
+        keys = source.select(key.alias(name)).distinct()
+        return rows.join(F.broadcast(keys) if self.few else keys, column == F.col(name), "left_semi")
 
     @property
     def root(self) -> Node:
@@ -146,6 +170,8 @@ class Frame:
             on = _equal(parent.col(relation.pk), node.col(relation.fk))
         else:
             on = _equal(parent.col(relation.fk), node.col(relation.pk))
+            if (source := self.reached(path[:-1])) is not None:
+                right = self._reached[path] = self.reduce(right, node.col(relation.pk), source, parent.col(relation.fk))
         self.df = self.df.join(right, on, "left")
         self.many |= relation.many
         self.nodes[path] = node

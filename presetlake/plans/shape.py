@@ -48,6 +48,7 @@ class Tail:
     field: Field
     key: str
     hops: Hops
+    path: Path = ()
     kind: str = ""  # of polymorphic parents: the column with the model's name
     column: str = ""
     type: T.DataType = field(default_factory=T.NullType)
@@ -168,11 +169,11 @@ class Shape:
         if relation.polymorphic:
             key, kind = node.name(relation.fk), node.name(relation.type_column)
             self.columns |= {key: None, kind: None}
-            return self._tail(Tail(node.model, relation, f, key, hops, kind))
+            return self._tail(Tail(node.model, relation, f, key, hops, path, kind))
         if relation.many:
             key = node.name(relation.pk)
             self.columns[key] = None
-            return self._tail(Tail(node.model, relation, f, key, hops))
+            return self._tail(Tail(node.model, relation, f, key, hops, path))
         target = self.context.registry[relation.model]
         return self._plan((*path, f.source), model_preset(target, f.preset), hops)
 
@@ -182,23 +183,26 @@ class Shape:
 
     # Hydration
 
-    def hydrate(self, df: DataFrame, keys_from: DataFrame | None = None, few: bool = False) -> DataFrame:
-        """Attach late aggregates and tails. ``keys_from`` has the rows whose children are wanted, if not all; ``few`` says that a limit bounds them."""
+    def hydrate(self, df: DataFrame, keys_from: DataFrame | None = None) -> DataFrame:
+        """Attach late aggregates and tails. ``keys_from`` has the rows whose children are wanted, if not all and if no page says so."""
+        frame = self.frame
         for late in self.late:
-            inner = Frame(self.context, self.frame.root.model)
-            keys = self.frame.root.keys()
-            if keys_from is not None:
-                wanted = keys_from.select(*(F.col(k).alias(f"w_{k}") for k in keys)).distinct()
-                on = [inner.root.col(k) == F.col(f"w_{self.frame.root.prefix}{k}") for k in self._key_names()]
-                inner.df = inner.df.join(F.broadcast(wanted) if few else wanted, on, "left_semi")
+            inner = Frame(self.context, frame.root.model)
+            keys = frame.root.keys()
+            source = frame.page if frame.page is not None else keys_from
+            if source is not None:
+                wanted = source.select(*(F.col(f"`{k}`").alias(f"w_{k}") for k in keys)).distinct()
+                on = [inner.root.col(k) == F.col(f"`w_{frame.root.prefix}{k}`") for k in self._key_names()]
+                inner.df = inner.df.join(F.broadcast(wanted) if frame.few else wanted, on, "left_semi")
             value = self._aggregate(inner, late.name)
             late.type = value.schema[late.name].dataType
-            on = [F.col(k) == F.col(f"{late.column}_{n}") for k, n in zip(keys, self._key_names())]
-            renamed = value.select(*(F.col(n).alias(f"{late.column}_{n}") for n in self._key_names()), F.col(late.name).alias(late.column))
-            df = df.join(renamed, on, "left").drop(*(f"{late.column}_{n}" for n in self._key_names()))
+            names = [f"{late.column}_{n}" for n in self._key_names()]
+            renamed = value.select(*(F.col(f"`{n}`").alias(m) for n, m in zip(self._key_names(), names)), F.col(f"`{late.name}`").alias(late.column))
+            df = df.join(renamed, [F.col(f"`{k}`") == F.col(f"`{m}`") for k, m in zip(keys, names)], "left").drop(*names)
         for tail in self.tails:
             tail.column = self.context.fresh("t")
-            df = self._polymorphic(df, tail) if tail.kind else self._children(df, tail, keys_from, few)
+            source = frame.reached(tail.path) if frame.page is not None else keys_from
+            df = self._polymorphic(df, tail, source) if tail.kind else self._children(df, tail, source)
         return df
 
     def _key_names(self) -> list[str]:
@@ -209,7 +213,7 @@ class Shape:
         sql = inner._sql((), inner.root, inner.root.model.computable[name].source)
         return inner.df.groupBy(*(inner.root.col(k).alias(k) for k in self._key_names())).agg(F.expr(sql).alias(name))
 
-    def _children(self, df: DataFrame, tail: Tail, keys_from: DataFrame | None, few: bool) -> DataFrame:
+    def _children(self, df: DataFrame, tail: Tail, source: DataFrame | None) -> DataFrame:
         relation, context = tail.relation, self.context
         target = context.registry[relation.model]
         child = Frame(context, target)
@@ -217,24 +221,17 @@ class Shape:
             child.df = child.df.where(child.condition(child.root, relation.where))
         key = context.fresh("k")
 
-        def wanted(rows: DataFrame, column: Column) -> DataFrame:
-            if keys_from is None:
-                return rows
-            name = context.fresh("w")
-            keys = keys_from.select(F.col(f"`{tail.key}`").alias(name)).distinct()
-            return rows.join(F.broadcast(keys) if few else keys, column == F.col(name), "left_semi")
-
         if relation.through:
             middle, inner, link = child.through(relation, target)
-            middle = wanted(middle, inner.col(relation.fk))
+            middle = self.frame.reduce(middle, inner.col(relation.fk), source, F.col(f"`{tail.key}`"))
             on = inner.col(link.fk) == child.root.col(link.pk) if not link.many else child.root.col(link.fk) == inner.col(link.pk)
             child.df = child.df.join(middle, on).withColumn(key, inner.col(relation.fk))
         else:
-            child.df = wanted(child.df, child.root.col(relation.fk)).withColumn(key, child.root.col(relation.fk))
+            child.df = self.frame.reduce(child.df, child.root.col(relation.fk), source, F.col(f"`{tail.key}`")).withColumn(key, child.root.col(relation.fk))
         shape = Shape(child, model_preset(target, tail.field.preset), tail.hops)
         order = _relation_order(child, relation.order)
         child.df = child.df.where(F.col(key).isNotNull())
-        made = shape.hydrate(child.df, child.df if keys_from is not None and shape.tails else None)
+        made = shape.hydrate(child.df, child.df if source is not None and shape.tails else None)
         value = shape.text(tail.field.formatter) if tail.field.formatter else shape.struct()
         names = [context.fresh("o") for _ in order]
         rows = made.select(F.col(key), value.alias("v"), *(c.alias(n) for n, (c, _) in zip(names, order)))
@@ -251,17 +248,18 @@ class Shape:
         tail.type = made.schema[tail.column].dataType
         return df.join(made, F.col(f"`{tail.key}`") == F.col(key), "left").drop(key)
 
-    def _polymorphic(self, df: DataFrame, tail: Tail) -> DataFrame:
+    def _polymorphic(self, df: DataFrame, tail: Tail, source: DataFrame | None) -> DataFrame:
         """The parents of all models that have the preset, in one table with the model's name; they join once."""
         found, context = None, self.context
         key, kind = context.fresh("k"), context.fresh("k")
         for model in context.registry.values():
             if tail.field.preset not in model.presets:
                 continue
-            source = context.catalog.table(model.table)
-            pk = tail.relation.pk if tail.relation.pk in source.columns else model.primary_keys[0]
+            columns = context.catalog.table(model.table).columns
+            pk = tail.relation.pk if tail.relation.pk in columns else model.primary_keys[0]
             parent = Frame(context, model)
-            parent.df = parent.df.withColumn(key, parent.root.col(pk)).withColumn(kind, F.lit(model.name))
+            own = None if source is None else source.where(F.col(f"`{tail.kind}`") == model.name)
+            parent.df = self.frame.reduce(parent.df, parent.root.col(pk), own, F.col(f"`{tail.key}`")).withColumn(key, parent.root.col(pk)).withColumn(kind, F.lit(model.name))
             shape = Shape(parent, model.presets[tail.field.preset], tail.hops)
             rows = shape.hydrate(parent.df)
             value = shape.text(tail.field.formatter) if tail.field.formatter else F.to_variant_object(shape.struct())

@@ -162,7 +162,7 @@ def registry() -> Registry:
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     catalog = Catalog(spark, sf_dir)
     for name, text in DERIVED.items():
-        catalog.add(name, lambda text=text: catalog.sql(text))
+        catalog.add(name, text)
     return Engine(registry(), catalog, Locale.of(LOCALE))
 
 

@@ -1,0 +1,107 @@
+"""Every catalogue query against its SQL, random filters against SQL, and the plans that make them scale."""
+
+import os
+
+import duckdb
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from presetlake import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{name}')")
+    return con
+
+
+def plain(value):
+    return round(value, 4) if isinstance(value, float) else value
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted([tuple(plain(r[i]) for i in order) for r in rows], key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, duck, name):
+    df = queries.QUERIES[name](spark, SF)
+    asked = duck.execute(queries.SQL[name])
+    columns = [c[0] for c in asked.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, asked.fetchall())
+
+
+def test_queries_without_sql(spark):
+    for name in set(queries.QUERIES) - set(queries.SQL):
+        assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+NUMBERS = st.sampled_from(["c_custkey", "c_nationkey", "c_acctbal"])
+TEXTS = st.sampled_from(["c_name", "c_mktsegment", "nation.n_name"])
+COLUMN = {"nation.n_name": "n_name"}
+SIGNS = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "eq": "="}
+
+
+@st.composite
+def one(draw):
+    if draw(st.booleans()):
+        name, op, value = draw(NUMBERS), draw(st.sampled_from(sorted(SIGNS))), draw(st.integers(-50, 150))
+        return {f"{name}__{op}": value}, f"{name} {SIGNS[op]} {value}"
+    name, op, value = draw(TEXTS), draw(st.sampled_from(["start", "end", "cnt", "not_cnt"])), draw(st.text("aeinru1_%", min_size=1, max_size=2))
+    pattern = ("" if op == "start" else "%") + value + ("" if op == "end" else "%")
+    return {f"{name}__{op}": value}, f"{COLUMN.get(name, name)} {'NOT ' if op == 'not_cnt' else ''}ILIKE '{pattern}'"
+
+
+def grouped(inner):
+    return st.tuples(st.sampled_from(["or", "and"]), st.lists(inner, min_size=1, max_size=3)).map(lambda x: ({x[0]: [f for f, _ in x[1]]}, "(" + f" {x[0].upper()} ".join(f"({s})" for _, s in x[1]) + ")"))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(st.recursive(one(), grouped, max_leaves=5), min_size=12, max_size=12))
+def test_random_filters(spark, duck, trees):
+    engine = queries.engine(spark, SF)
+    whole = None
+    for n, (filters, _) in enumerate(trees):
+        part = engine.index({"model": "Customer", "preset": "item", "filters": filters}).selectExpr(f"{n} AS n", "c_custkey")
+        whole = part if whole is None else whole.union(part)
+    got = sorted((r.n, r.c_custkey) for r in whole.collect())
+    want = sorted((n, *r) for n, (_, sql) in enumerate(trees) for r in duck.execute(f"SELECT c_custkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE {sql}").fetchall())
+    assert got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_used_columns_are_scanned(spark):
+    text = plan(queries.QUERIES["filter_range"](spark, SF))
+    assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_acctbal:double>" in text and "GreaterThanOrEqual(c_acctbal,10.0)" in text
+    assert "nation" not in text
+
+
+def test_a_relation_filter_is_one_semi_join(spark):
+    text = plan(queries.QUERIES["has_many_same_row"](spark, SF))
+    assert text.count("LeftSemi") == 1 and "Aggregate" not in text
+    assert "LeftAnti" in plan(queries.QUERIES["filter_null_anti"](spark, SF))
+
+
+def test_a_page_is_cut_before_other_joins(spark):
+    engine = queries.engine(spark, SF)
+    page = engine.index({"model": "Order", "preset": "page", "sorts": ["o_totalprice DESC"], "limit": 5})
+    text = page._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("GlobalLimit 5") :]
+    assert "c_name" not in below[: below.index("Relation")]
+    # Lines and customers are reduced to the page's, nations to these customers', regions to these nations'.
+    assert text.count("LeftSemi") == 1 + 1 + 2 + 3
+
+
+def test_unused_tables_are_never_opened(spark):
+    assert not queries.engine(spark, SF).catalog._found
