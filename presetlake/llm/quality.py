@@ -76,8 +76,8 @@ def votes(m: str) -> Column:
         mean.between(3, 9),
         (mean < 2) | (mean > 15),
         c("n_symbols") > 0.1 * n,
-        c("n_dup_lines") > 0.3 * F.greatest(c("n_lines"), F.lit(1.0)),
-        c("n_repeat_words") > 0.3 * n,
+        c("n_dup_lines") > 0.5 * F.greatest(c("n_lines"), F.lit(1.0)),
+        c("n_repeat_words") > 0.4 * n,
         c("n_upper") > 0.3 * c("n_letters"),
         c("n_marks") > 0.2 * n,
     ]
@@ -98,10 +98,12 @@ class Model:
         return right / (self.prior * good + (1 - self.prior) * bad)
 
 
-#: Where the estimate starts, and the bounds that keep a rule's meaning: for rules that vote bad and that vote good,
-#: (P(speaks | bad), P(speaks | good)).
-START = {0: (0.3, 0.002), 1: (0.6, 0.9)}
-BOUNDS = {0: ((0.05, 0.95), (0.0005, 0.02)), 1: ((0.05, 0.95), (0.5, 0.99))}
+#: Bounds that keep a rule's meaning, for each rule: (P(speaks | bad), P(speaks | good)). A rule that votes bad hardly
+#: ever speaks on good text, but for repeated lines, which tables and refrains have too.
+_GOOD, _BAD, _LINES = ((0.05, 0.95), (0.5, 0.99)), ((0.1, 0.95), (0.0001, 0.002)), ((0.1, 0.95), (0.0001, 0.02))
+BOUNDS = (_GOOD, _GOOD, _BAD, _BAD, _LINES, _BAD, _BAD, _BAD)
+#: Where the estimate starts, for each rule.
+START = ((0.6, 0.9), (0.6, 0.9), (0.3, 0.001), (0.3, 0.001), (0.2, 0.01), (0.3, 0.001), (0.3, 0.001), (0.3, 0.001))
 
 
 def estimate(patterns: dict[str, int], rounds: int = 200) -> Model:
@@ -109,13 +111,13 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> Model:
     n = np.array(list(patterns.values()), float)
     spoke = np.array([[c != "-" for c in p] for p in patterns], bool).reshape(-1, len(RULES))
     prior = 0.9
-    rates = np.array([START[v] for v in RULES]).T
-    low, high = (np.array([[b[i] for b in BOUNDS[v]] for v in RULES]).T for i in (0, 1))
+    rates = np.array(START).T
+    low, high = np.array(BOUNDS).T
     for _ in range(rounds if len(n) else 0):
         p = 1 / (1 + np.exp(-np.clip(_odds(prior, rates, spoke), -50, 50)))
         weight = np.stack([n * (1 - p), n * p])
         # One document's worth of the start keeps empty classes defined.
-        fresh = np.clip((weight @ spoke + np.array([START[v] for v in RULES]).T) / (weight.sum(1) + 1)[:, None], low, high)
+        fresh = np.clip((weight @ spoke + np.array(START).T) / (weight.sum(1) + 1)[:, None], low, high)
         prior, moved = float(np.clip((weight[1].sum() + 0.9) / (n.sum() + 1), 0.05, 0.98)), np.abs(fresh - rates).max()
         rates = fresh
         if moved < 1e-7:
