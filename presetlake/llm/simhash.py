@@ -201,7 +201,9 @@ def near_duplicates(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text
     roots = components(link(own.select("fp"), most, group)).withColumnRenamed("node", "fp")
     least = roots.join(own, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     wider = roots.join(least, "root").select("fp", "component_id")
-    named = own.join(wider, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that the rows' join stands alone in its stage, where adaptive execution can split a fingerprint that a
+    # large part of all rows shares.
+    named = store(own.join(wider, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return rows.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
