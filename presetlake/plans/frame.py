@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from presetlake.spec.types import BadRequest, Model, Relation
 
 Path = tuple[str, ...]
 
+_WORDED = re.compile(r"^\s*\.?(\w+)\s+(in|cnt|start|end)\s+([^()]+)$", re.I)
+
 
 @dataclass
 class Context:
@@ -25,7 +28,6 @@ class Context:
     locale: Locale = field(default_factory=Locale)
     lenient: bool = False
     child_cap: int | None = None
-    keep_keys: bool = False
     _numbers: itertools.count = field(default_factory=itertools.count)
 
     def fresh(self, kind: str) -> str:
@@ -112,9 +114,13 @@ class Frame:
         return source.select([F.col(f"`{c}`").alias(prefix + c) for c in source.columns]), node
 
     def condition(self, node: Node, text: str) -> Column:
-        """A relation's SQL condition over its own table."""
-        refuse = lambda inside, after: node.name(after or inside)
-        return F.expr(fragments.rewrite(text, lambda i, a: f"`{refuse(i, a)}`", lambda c: f"`{node.name(c)}`", node.types))
+        """A relation's condition over its own table: SQL, or one of ``x in a, b``, ``x cnt a``, ``x start a``, ``x end a``."""
+        if m := _WORDED.match(text):
+            column, operator, said = F.col(f"`{node.name(m[1])}`").cast("string"), m[2].lower(), [v.strip().strip("'\"") for v in m[3].split(",")]
+            if operator == "in":
+                return column.isin(said)
+            return column.ilike({"cnt": "%{}%", "start": "{}%", "end": "%{}"}[operator].format(m[3].strip().strip("'\"")))
+        return F.expr(fragments.rewrite(text, lambda inside, after: f"`{node.name(after or inside)}`", lambda c: f"`{node.name(c)}`", node.types))
 
     def step(self, model: Model, name: str) -> Relation:
         if name not in model.relations:

@@ -77,6 +77,36 @@ def test_random_filters(spark, duck, trees):
     assert got == want
 
 
+@st.composite
+def child(draw):
+    """A test of an order, of its lines, or of these lines' parts."""
+    kind = draw(st.integers(0, 5))
+    if kind == 0:
+        return {"o_orderstatus": "f"}, "lower(o_orderstatus) = 'f'"
+    if kind == 1:
+        null = draw(st.booleans())
+        return {"lineitems.l_orderkey__null": null}, f"l_orderkey IS {'' if null else 'NOT '}NULL"
+    if kind == 2:
+        value = draw(st.integers(1, 50))
+        return {"lineitems.part.p_size__lt": value}, f"p_size < {value}"
+    op, value = draw(st.sampled_from(sorted(SIGNS))), draw(st.integers(1, 50))
+    return {f"lineitems.l_quantity__{op}": value}, f"l_quantity {SIGNS[op]} {value}"
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(st.lists(st.recursive(child(), grouped, max_leaves=3), min_size=1, max_size=3), min_size=8, max_size=8))
+def test_random_filters_over_children(spark, duck, trees):
+    """Half joins or not, the roots are those that some joined row passes for."""
+    engine, whole = queries.engine(spark, SF), None
+    for n, parts in enumerate(trees):
+        part = engine.index({"model": "Order", "preset": "id", "filters": {"and": [f for f, _ in parts]}}).selectExpr(f"{n} AS n", "o_orderkey")
+        whole = part if whole is None else whole.union(part)
+    got = sorted((r.n, r.o_orderkey) for r in whole.collect())
+    base = "SELECT DISTINCT o_orderkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey WHERE "
+    want = sorted((n, *r) for n, parts in enumerate(trees) for r in duck.execute(base + " AND ".join(f"({s})" for _, s in parts)).fetchall())
+    assert got == want
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
