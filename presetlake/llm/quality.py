@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presetlake.llm.common import ship
+from presetlake.llm.common import ship, store
 
 _FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks"]
 _SPACES = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
@@ -164,6 +164,9 @@ def judge(measured: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that are kept, in the same columns. The texts are measured twice, so nothing is stored."""
-    measured = docs.select(F.struct("*").alias("row"), measures(docs, text_col).alias("m"))
+    """The rows that are kept, in the same columns.
+
+    Rows are stored with their measures, as measuring all texts again costs far more than reading them back.
+    """
+    measured = store(docs.select(F.struct("*").alias("row"), measures(docs, text_col).alias("m")))
     return measured.where(kept(fit(measured))).select("row.*")
