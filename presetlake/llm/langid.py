@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from presetlake.llm.common import fold, ship
 
-#: Hash buckets of n-grams; n-gram sizes; labelled documents that the weights are fitted on, at most about twice;
-#: languages at most, the most frequent ones.
-BUCKETS, SIZES, SAMPLE, LANGUAGES = 1 << 15, (1, 2, 3), 2_000, 256
+#: Hash buckets of n-grams; n-gram sizes; labelled documents that the weights are fitted on, at most about twice; share
+#: of each language in these at least, so that many languages make the sample larger.
+BUCKETS, SIZES, SAMPLE, EACH = 1 << 15, (1, 2, 3), 2_000, 8
 UNKNOWN = "und"
 _PIECE = 1 << 18
 
@@ -128,28 +128,33 @@ def _frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] | None = (4, 2), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with text and language whose fold (crc32 of the id) isn't the one held out.
 
-    Each language gives about an equal share of the sample, picked by a hash, of texts shorter than 100,000 characters.
+    All languages are learned; each costs the driver 0.5 MB while the weights are fitted. Each gives about an equal share
+    of the sample, and one document at least, picked by a hash, of texts shorter than 100,000 characters.
     Without any such row the model has no language and predicts ``und``.
     """
     ship(docs.sparkSession)
     learn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     if held_out:
         learn = learn.where(fold("id", held_out[0]) != held_out[1])
-    seen = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
+    seen = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.length("text") < 100_000, place)).alias("least")).collect()
     languages = sorted(r["lang"] for r in seen)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    sample = max(sample, EACH * len(languages))
     documents, rows = _frequencies(learn)
     idf = np.log((1 + rows) / (1 + documents)) + 1
-    share = F.create_map(*(F.lit(v) for r in seen for v in (r["lang"], min(1.0, sample / len(seen) / r["count"]))))
-    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(1 << 20)
+    share = F.create_map(*(F.lit(v) for r in seen for v in (r["lang"], max(min(1.0, sample / len(seen) / r["n"]) * (1 << 20), (r["least"] or 0) + 1.0))))
+    drawn = place < share[F.col("lang")]
     picked = learn.where(drawn & (F.length("text") < 100_000)).orderBy(F.xxhash64("text", "id")).limit(2 * sample).select("text", "lang").toPandas()
     if picked.empty:
         picked = learn.limit(sample).select("text", "lang").toPandas()
     index = {lang: i for i, lang in enumerate(languages)}
     vectors = [(*_vector(t, idf), index[lang]) for t, lang in zip(picked["text"], picked["lang"])]
-    apart = vectors[::5] if len(vectors) >= 50 else vectors
-    weights, bias = ftrl([v for i, v in enumerate(vectors) if len(vectors) < 50 or i % 5], len(languages))
+    few = len(vectors) < 50
+    learned = {y for i, (*_, y) in enumerate(vectors) if few or i % 5}
+    apart = vectors if few else [v for v in vectors[::5] if v[2] in learned] or vectors
+    weights, bias = ftrl([v for i, v in enumerate(vectors) if few or i % 5 or v[2] not in learned], len(languages))
     model = Model(languages, idf, weights, bias)
     model.temperature = temperature(np.array([model.logits(at, x) for at, x, _ in apart]), np.array([y for *_, y in apart]))
     return model
