@@ -2,8 +2,8 @@
 
 Bins are ordered by residual. Each carries one bitmap of the sources and duplicate clusters that it holds; a document
 searches from the first bin whose residual is enough to its successors until one has none of its bits, which is the
-tightest compatible bin. Rows are dealt by a hash of the id into packs of about ``ROWS`` rows, whose number grows with
-the table, and each pack is filled on its own, largest first. Only ids, sizes, sources and clusters are shuffled.
+tightest compatible bin. Rows are dealt by a hash of the id and the row's place into packs of about ``ROWS`` rows, whose
+number grows with the table, so that a repeated id is spread too; each pack is filled on its own, largest first. Only ids, sizes, sources and clusters are shuffled.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, rows: int = ROWS, id_col: st
     alike = F.when(F.col(text_col).isNotNull(), F.md5(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))) if cluster_col is None else F.col(cluster_col).cast("string")
     packs = max(1, -(-docs.count() // rows))
     sized = docs.select(
-        F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id())), F.lit(packs)).cast("long").alias("pack"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.monotonically_increasing_id()), F.lit(packs)).cast("long").alias("pack"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"),  # a null would make the column a float
         F.col(id_col).isNull().alias("no_id"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"),
