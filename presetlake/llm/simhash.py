@@ -210,10 +210,13 @@ def near_duplicates(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text
 def keep_one(docs: DataFrame, most: int = 2) -> DataFrame:
     """The documents of which each group of near-duplicates keeps one: the row whose id names the group.
 
-    Rows that agree in id and text count as one. Rows without an id stay, one of each text, only where no document with
-    an id is in their group.
+    Rows that agree in id and text count as one; of other rows with the group's least id, the least text digest stays. A
+    row without an id stays only where no document with an id is in its group, and one for each such group.
     """
-    result = near_duplicates(docs, most)
-    kept = result.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    alone = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5("text").alias("digest"))
+    own = store(fingerprints(docs.select(key.alias("key"), "text"), "key").groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(link(own.select("fp"), most)).withColumnRenamed("node", "fp")
+    first = own.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    alone = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & F.md5(docs["text"]).eqNullSafe(kept["kept_digest"]), "left_semi")
     return alone.dropDuplicates(["doc_id", "text"])
