@@ -59,11 +59,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def base_quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 measures before it judges, for which there is SQL."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", quality.measures(docs).alias("m")).select("doc_id", *(f"m.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), quality.base_failed().alias("base_failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_line_dedup, op4_byte_bpe, op5_language_id,
         op6_compression_quality, op7_license_scan, op8_quality_rules, op9_exact_top_k, op10_sharding,
+        base_quality_measures,
     )
 }
 
@@ -74,6 +81,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": linechunks.ORACLE_SQL,
         "op9_exact_top_k": topk.ORACLE_SQL,
+        "base_quality_measures": quality.BASE_SQL,
         "op10_sharding": f"""
 WITH placed AS (
   SELECT doc_id, (('0x' || substr(md5({key}), 1, 15))::BIGINT % {sharding.SLOTS})::INTEGER AS slot FROM documents),

@@ -340,21 +340,36 @@ def plain_stats(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["a", "b", "c#", "\n", " ", "\x0b", "é|"]), max_size=40).map(" ".join)))
-def test_measures(text):
-    assert quality.stats(text)[:5] == plain_stats(text)
+@given(st.lists(st.one_of(st.text(max_size=60), st.none(), st.lists(st.sampled_from(["a", "b", "c#", "\n", " ", "\x0b", "é|", "\x1c", "🙂"]), max_size=40).map(" ".join)), max_size=4), st.sampled_from([3, 17, 1 << 20]), st.sampled_from([1, 9, 1 << 15]))
+def test_measures(texts, piece, tokens):
+    """Also where texts are cut into pieces of a few characters."""
+    held = quality.PIECE, quality.TOKENS
+    quality.PIECE, quality.TOKENS = piece, tokens
+    try:
+        assert [tuple(r[:5]) for r in quality.stats(texts)] == [plain_stats(t) for t in texts]
+    finally:
+        quality.PIECE, quality.TOKENS = held
+
+
+def test_measures_beyond_the_base():
+    text = "One two-three, (four) don't 五 7!\nx# !! ÀB |\n\n  \nend?"
+    by = dict(zip(quality._FIELDS, quality.stats([text])[0].tolist()))
+    assert (by["n_words"], by["n_lines"], by["n_ended"], by["n_marks"]) == (11, 3, 2, 4)
+    assert by["n_upper"] == 3 and by["n_letters"] == sum(map(str.isalpha, text))
+    assert by["n_plain"] == 7  # without 7!, x#, !! and |
 
 
 def test_estimation_tells_good_rules_from_chatter():
     draw = np.random.default_rng(3)
+    rates = np.array([[[0.1, 0.6, 0.3], [0.3, 0.3, 0.4], [0.6, 0.2, 0.2], [0.5, 0.3, 0.2]], [[0.1, 0.6, 0.3], [0.02, 0.9, 0.08], [0.01, 0.95, 0.04], [0.05, 0.75, 0.2]]])
+    rates = np.concatenate([rates, rates[:, 1:3], rates[:, :3]], 1)
     patterns = Counter()
     for _ in range(5_000):
-        good = draw.random() < 0.8
-        rates = [(0.9, 0.9), (0.7, 0.98), (0.1, 0.0), (0.5, 0.001), (0.2, 0.01), (0.4, 0.001), (0.2, 0.0), (0.3, 0.0)]
-        patterns["".join(str(v) if draw.random() < r[good] else "-" for v, r in zip(quality.RULES, rates))] += 1
+        good = int(draw.random() < 0.8)
+        patterns["".join(draw.choice(list("01-"), p=r) for r in rates[good])] += 1
     model = quality.estimate(patterns)
-    assert abs(model.prior - 0.8) < 0.06 and abs(model.rates[3][0] - 0.5) < 0.1
-    assert model.accuracy(3) > 0.95 > model.accuracy(0)
+    assert abs(model.prior - 0.8) < 0.04 and np.abs(model.rates - rates).max() < 0.07
+    assert model.accuracy("symbols") > 0.95 > model.accuracy("length")
     assert quality.estimate({}).prior == 0.9
 
 
