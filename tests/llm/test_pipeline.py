@@ -2,13 +2,14 @@
 
 import os
 import re
+from itertools import combinations
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from presetlake.llm import langid, quality, simhash
-from tests.llm.test_operators import plain_line_dedup, plain_stats
+from tests.llm.test_operators import plain_components, plain_line_dedup, plain_stats
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -39,8 +40,11 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     want = plain_line_dedup({d: r.text for d, r in rows(good).items()})
     assert {d: r.text for d, r in rows(edited).items()} == {d: text for d, (text, _) in want.items()}
     assert all(r.n_chars == len(r.text) for r in rows(edited).values())
-    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(edited).collect()}
+    prints = {d: simhash.wide_fingerprint(r.text) for d, r in rows(edited).items()}
+    near = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[a], prints[b])) <= simhash.WIDE
+    component = plain_components([(a, b) for a, b in combinations(sorted(prints), 2) if near(a, b)], sorted(prints))
     assert set(rows(apart)) == set(component.values())
+    assert all(r == rows(edited)[d] for d, r in rows(apart).items())
     sizes: dict[int, int] = {}
     for r in packed.collect():
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.n_words
