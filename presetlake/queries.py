@@ -56,6 +56,8 @@ MODELS: dict[str, dict] = {
             "base": {"fields": [_f("n_nationkey", _I), _f("n_name"), _f("n_regionkey", _I)]},
             "override": {"extends": "base", "fields": [_f("n_nationkey", _I, alias="n_name"), _f("n_regionkey", _I, alias="r")]},
             "suppliers": {"fields": [_f("n_nationkey", _I), _rel("suppliers", "item", formatter="{s_name}", alias="names")]},
+            "sellers": {"fields": [_f("n_nationkey", _I), _rel("suppliers", "item")]},
+            "tagged": {"fields": [_f("n_nationkey", _I), _f("n_name", internal=True), _fmt("<{n_name}>", "tag")]},
         },
     },
     "Supplier": {"table": "supplier", "primary_keys": "s_suppkey", "relations": {"nation": _to("Nation", "s_nationkey", "n_nationkey")}, "presets": {"item": {"fields": [_f("s_suppkey", _I), _f("s_name")]}, "party": {"fields": [_f("s_name", alias="name")]}}},
@@ -65,7 +67,7 @@ MODELS: dict[str, dict] = {
         "include": "labelled",
         "aggregatable": {"c_acctbal": {"type": "float", "functions": "sum, avg, min, max"}, "nation.n_nationkey": {"type": _I, "functions": "min, max"}},
         "computable": {
-            "title": {"source": "concat({c_name}, nullif({nation.n_name}, 'FRANCE'))", "type": _S},
+            "title": {"source": "concat({c_name}, nullif({nation.n_name}, 'NATION_6'))", "type": _S},
             "debt": {"source": "case when c_acctbal < 0 then 'owes' else 'fine' end", "type": _S},
             "n_orders": {"source": "(select count(*) from orders o where o.o_custkey = main.c_custkey)", "type": _I},
         },
@@ -88,6 +90,10 @@ MODELS: dict[str, dict] = {
             "slices": {"fields": [_f("c_custkey", _I), _f("c_name", internal=True), _f("c_mktsegment", internal=True), _fmt("{c_mktsegment}[0]{c_mktsegment}[1..4]-{c_name}[9..99]{c_name}[99]", "code")]},
             "choices": {"fields": [_f("c_custkey", _I), _f("c_acctbal", _N, internal=True), _f("c_mktsegment", internal=True), _fmt('{? c_acctbal < 0 ? "owes" : "{? c_mktsegment == BUILDING ? "builds" : "{c_mktsegment}[0..2]"}"}', "word")]},
             "copy": {"fields": [_f("c_custkey", _I), _rel("nation", "full", alias="home", internal=True), {"source": "{home.region.r_name}", "type": "nested_field", "alias": "region_name"}]},
+            "market": {"fields": [_f("c_custkey", _I), _rel("nation", "sellers")]},
+            "placed": {"fields": [_f("c_custkey", _I), _rel("nation", "full", formatter="{n_name}/{region.r_name}", alias="place")]},
+            "tagged": {"fields": [_f("c_custkey", _I), _rel("nation", "tagged", alias="home")]},
+            "labelled": {"fields": [_fmt("<{c_name}>", "label"), _f("c_acctbal", _N)]},
             "renamed": {"fields": [_f("c_custkey", _I, alias="id"), _rel("nation", "item", alias="home")]},
         },
     },
@@ -99,6 +105,7 @@ MODELS: dict[str, dict] = {
         "computable": {
             "pieces": {"source": "coalesce(sum({lineitems}.l_quantity), 0)", "type": "float"},
             "n_lines": {"source": "count({lineitems}.l_orderkey)", "type": _I},
+            "bulky": {"source": "max({lineitems}.l_quantity > 45)", "type": "bool"},
         },
         "relations": {
             "customer": _to("Customer", "o_custkey", "c_custkey"),
@@ -115,6 +122,7 @@ MODELS: dict[str, dict] = {
             "lines": {"fields": [*_ORDER_ID, _rel("lineitems", "item")]},
             "page": {"fields": [*_ORDER_ID, _f("o_totalprice", _N), _rel("customer", "card"), _rel("lineitems", "item")]},
             "parts": {"fields": [*_ORDER_ID, _rel("parts", "item")]},
+            "inline": {"fields": [*_ORDER_ID, _f("(select count(*) from lineitem l where l.l_orderkey = main.o_orderkey)", _I, alias="n")]},
             "bulk": {"fields": [*_ORDER_ID, _rel("bulk_parts", "item")]},
             "sums": {"fields": [*_ORDER_ID, _f("pieces", "computable"), _f("n_lines", "computable")]},
             "dated": {"fields": [*_ORDER_ID, _f("o_orderdate", "date", alias="day", localize=True)]},
@@ -127,6 +135,7 @@ MODELS: dict[str, dict] = {
         "relations": {"order": _to("Order", "l_orderkey", "o_orderkey"), "part": _to("Part", "l_partkey", "p_partkey"), "supplier": _to("Supplier", "l_suppkey", "s_suppkey")},
         "presets": {"item": {"fields": [_f("l_linenumber", _I), _f("l_quantity", _N)]}, "key": {"fields": [_f("l_orderkey", _I), _f("l_linenumber", _I)]}},
     },
+    "Event": {"table": "events", "primary_keys": "event_id", "presets": {"stamped": {"fields": [_f("event_id", _I), _f("ts", "datetime", alias="at", localize=True), _f("ts", "time", alias="clock", localize=True)]}}},
     "Part": {"table": "part", "primary_keys": "p_partkey", "presets": {"item": {"fields": [_f("p_partkey", _I), _f("p_name")]}}},
     "Sparse": {
         "table": "sparse",
@@ -143,11 +152,17 @@ MODELS: dict[str, dict] = {
     },
     "Party": {"table": "party", "primary_keys": "party_id, party_type", "relations": {"party": {"type": "belongs_to", "polymorphic": True}}, "presets": {"item": {"fields": [_f("party_id", _I), _f("party_type"), _rel("party", "party")]}}},
 }
-TEMPLATES = {"labelled": {"presets": {"labelled": {"fields": [_f("c_custkey", _I), _fmt("{c_name} ({c_custkey})", "label")]}}}}
-LOCALE = {"layoutSettings": {"date": "02.01.2006"}, "Nation": {"words": {"area": {0: "south", 1: "west"}}}}
+TEMPLATES = {"labelled": {"presets": {"labelled": {"fields": [_f("c_custkey", _I), _fmt("{c_name} ({c_custkey})", "label"), _f("c_mktsegment")]}}}}
+LOCALE = {
+    "layoutSettings": {"date": "02.01.2006", "datetime": "2006/01/02 15h04", "ttime": "15:04"},
+    "Nation": {"words": {"area": {0: "south", 1: "west"}}},
+    "words": {"area": {1: "not this", 2: "wide"}},
+    "area": {0: "nor this", 2: "nor that", 3: "far"},
+    "n_regionkey": {3: "last", 4: "by its column"},
+}
 #: Tables that are derived from others: with nulls, as a tree, and with two kinds of parents.
 DERIVED = {
-    "sparse": "SELECT n_nationkey AS id, nullif(n_name, 'FRANCE') AS name, nullif(n_regionkey, 3) AS region_id FROM {nation}",
+    "sparse": "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 2 THEN n_name END AS name, nullif(n_regionkey, 3) AS region_id FROM {nation}",
     "sparse_region": "SELECT r_regionkey, nullif(r_name, 'ASIA') AS r_name FROM {region}",
     "part_tree": "SELECT p_partkey, nullif(p_partkey div 2, 0) AS parent_id FROM {part}",
     "party": "SELECT c_custkey AS party_id, 'Customer' AS party_type FROM {customer} UNION ALL SELECT s_suppkey, 'Supplier' FROM {supplier} UNION ALL SELECT s_suppkey, 'Ghost' FROM {supplier}",
@@ -159,16 +174,18 @@ def registry() -> Registry:
     return Registry(MODELS, TEMPLATES)
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
     catalog = Catalog(spark, sf_dir)
     for name, text in DERIVED.items():
         catalog.add(name, text)
-    return Engine(registry(), catalog, Locale.of(LOCALE))
+    return Engine(registry(), catalog, Locale.of(LOCALE), **options)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: What the index queries ask for, by name.
+REQUESTS: dict[str, dict] = {}
 
 
 def _index(name: str, sql: str, model: str, preset: str = "", then: Callable[[DataFrame], DataFrame] | None = None, **request) -> None:
@@ -176,7 +193,7 @@ def _index(name: str, sql: str, model: str, preset: str = "", then: Callable[[Da
         made = engine(spark, sf_dir).index({"model": model, "preset": preset, **request})
         return then(made) if then else made
 
-    QUERIES[name], SQL[name] = run, sql
+    QUERIES[name], SQL[name], REQUESTS[name] = run, sql, {"model": model, "preset": preset, **request}
 
 
 def _stats(name: str, sql: str, model: str, **request) -> None:
@@ -212,18 +229,21 @@ for _name, _filters, _where in (
     ("filter_nested_groups", {"c_acctbal__gt": 100, "or": {"and": {"c_nationkey__gt": 5, "c_nationkey__lte": 9}, "or": [{"c_mktsegment": "BUILDING"}, {"c_name__end": "5"}]}}, "c_acctbal > 100 AND ((c_nationkey > 5 AND c_nationkey <= 9) OR c_mktsegment = 'BUILDING' OR c_name LIKE '%5')"),
     ("filter_composite_or", {"c_name_or_c_mktsegment__cnt": "in"}, "c_name ILIKE '%in%' OR c_mktsegment ILIKE '%in%'"),
     ("filter_composite_and", {"c_name_and_c_mktsegment__cnt": "u"}, "c_name ILIKE '%u%' AND c_mktsegment ILIKE '%u%'"),
+    ("filter_eq_list", {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_nationkey": [1, 4, 7]}, "c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey IN (1, 4, 7)"),
     ("filter_cast_text", {"c_nationkey__start": "1"}, "CAST(c_nationkey AS VARCHAR) LIKE '1%'"),
 ):
     _index(_name, _CUSTOMER + _where, "Customer", "item", filters=_filters)
-_index("filter_not_null", "SELECT id, name FROM (SELECT n_nationkey AS id, nullif(n_name, 'FRANCE') AS name FROM nation) WHERE name IS NOT NULL AND name NOT ILIKE '%an%'", "Sparse", "item", filters={"name__not_null": True, "name__not_cnt": "an"})
-_index("filter_null", "SELECT n_nationkey AS id, nullif(n_name, 'FRANCE') AS name FROM nation WHERE n_name = 'FRANCE'", "Sparse", "item", filters={"name__null": True})
+_index("filter_not_null", "SELECT id, name FROM (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 2 THEN n_name END AS name FROM nation) WHERE name IS NOT NULL AND name NOT ILIKE '%1%'", "Sparse", "item", filters={"name__not_null": True, "name__not_cnt": "1"})
+_index("filter_null", "SELECT n_nationkey AS id, NULL AS name FROM nation WHERE n_nationkey % 5 = 2", "Sparse", "item", filters={"name__null": True})
+
+_index("filter_eq_null", "SELECT n_nationkey AS id, NULL AS name FROM nation WHERE n_nationkey % 5 = 2 AND n_nationkey > 5", "Sparse", "item", filters={"name": None, "id__gt": 5})
 
 # Joins
 
 _ID = "SELECT o_orderkey FROM orders"
-_index("filter_null_anti", _ID + " WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)", "Order", "id", filters={"lineitems.l_orderkey__null": True})
-_index("path_belongs_to", _ID + " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'", "Order", "id", filters={"customer.nation.n_name": "france"})
-_index("path_alias", _ID + " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name ILIKE 'i%'", "Order", "id", filters={"land.n_name__start": "i"})
+_index("filter_null_anti", _ID + " WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')", "Order", "id", filters={"returns.l_orderkey__null": True})
+_index("path_belongs_to", _ID + " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_6'", "Order", "id", filters={"customer.nation.n_name": "nation_6"})
+_index("path_alias", _ID + " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name ILIKE 'nation_1%'", "Order", "id", filters={"land.n_name__start": "nation_1"})
 _index("has_many_filter", _ID + " WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49)", "Order", "id", filters={"lineitems.l_quantity__gte": 49})
 _index("has_many_same_row", _ID + " WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 45 AND l_returnflag = 'R')", "Order", "id", filters={"lineitems.l_quantity__gte": 45, "lineitems.l_returnflag": "r"})
 _index("has_many_or_root", _ID + " WHERE o_orderstatus = 'P' OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49)", "Order", "id", filters={"or": {"o_orderstatus": "P", "lineitems.l_quantity__gte": 49}})
@@ -234,14 +254,14 @@ _index("relation_where_join", _ID + " WHERE EXISTS (SELECT 1 FROM lineitem WHERE
 # Sorts, pages, distinct values, counts
 
 _index("sort_path_limit", "SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY n_name DESC, c_custkey LIMIT 25", "Customer", "item", sorts=["nation.n_name DESC", "c_custkey"], limit=25)
-_index("sort_nulls", "SELECT id, name FROM (SELECT n_nationkey AS id, nullif(n_name, 'FRANCE') AS name FROM nation) ORDER BY name DESC NULLS FIRST, id LIMIT 4", "Sparse", "item", sorts=["name DESC"], limit=4)
-_index("sort_nulls_last", "SELECT id, name FROM (SELECT n_nationkey AS id, nullif(n_name, 'FRANCE') AS name FROM nation) ORDER BY name NULLS LAST, id LIMIT 3 OFFSET 22", "Sparse", "item", sorts=["name ASC"], limit=3, offset=22)
+_index("sort_nulls", "SELECT id, name FROM (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 2 THEN n_name END AS name FROM nation) ORDER BY name DESC NULLS FIRST, id LIMIT 8", "Sparse", "item", sorts=["name DESC"], limit=8)
+_index("sort_nulls_last", "SELECT id, name FROM (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 2 THEN n_name END AS name FROM nation) ORDER BY name NULLS LAST, id LIMIT 5 OFFSET 17", "Sparse", "item", sorts=["name ASC"], limit=5, offset=17)
 _index("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 15", "Order", "priced", sorts=["o_totalprice DESC", "o_orderkey"], limit=40, offset=15)
 _index("sort_has_many_hidden", "SELECT o_orderkey FROM (SELECT DISTINCT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)", "Order", "id", sorts=["lineitems.l_linenumber"])
 _index("distinct_values", "SELECT DISTINCT c_mktsegment AS value FROM customer", "Customer", unique_by="c_mktsegment")
 _index("distinct_path", "SELECT DISTINCT n_name AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'", "Order", unique_by="customer.nation.n_name", filters={"o_orderstatus": "P"})
 _index("distinct_page", "SELECT DISTINCT n_name AS value FROM nation ORDER BY value LIMIT 5 OFFSET 3", "Nation", unique_by="n_name", limit=5, offset=3)
-_stats("distinct_count_null", "SELECT count(*) AS count FROM (SELECT DISTINCT nullif(n_name, 'FRANCE') FROM nation)", "Sparse", unique_by="name")
+_stats("distinct_count_null", "SELECT count(*) AS count FROM (SELECT DISTINCT CASE WHEN n_nationkey % 5 <> 2 THEN n_name END FROM nation)", "Sparse", unique_by="name")
 _stats("count_all", "SELECT count(*) AS count FROM orders", "Order")
 _stats("count_has_many", "SELECT count(DISTINCT o_orderkey) AS count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 30", "Order", filters={"lineitems.l_quantity__gt": 30})
 _stats("agg_sum_avg_min_max", "SELECT count(*) AS count, sum(o_totalprice) AS total, avg(o_totalprice) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM orders WHERE o_orderstatus = 'F'", "Order", filters={"o_orderstatus": "F"}, aggregates={"total": {"fn": "sum", "field": "o_totalprice"}, "mean": {"fn": "avg", "field": "o_totalprice"}, "least": {"fn": "min", "field": "o_totalprice"}, "most": {"fn": "max", "field": "o_totalprice"}, "first": {"fn": "min", "field": "o_orderdate"}})
@@ -250,15 +270,17 @@ _stats("agg_has_many_filter", "SELECT count(*) AS count, sum(o_totalprice) AS to
 
 # Computed columns
 
-_index("comp_scalar", "SELECT c_custkey, concat(c_name, nullif(n_name, 'FRANCE')) AS title, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'fine' END AS debt FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", "Customer", "computed")
-_index("comp_concat_null", "SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE' AND c_name LIKE '%1'", "Customer", "item", filters={"title__end": "1"})
-SQL["comp_concat_null"] = "SELECT c_custkey, c_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE concat(c_name, nullif(n_name, 'FRANCE')) ILIKE '%1'"
+_index("comp_scalar", "SELECT c_custkey, concat(c_name, nullif(n_name, 'NATION_6')) AS title, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'fine' END AS debt FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", "Customer", "computed")
+_index("comp_concat_null", "SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_6' AND c_name LIKE '%1'", "Customer", "item", filters={"title__end": "1"})
+SQL["comp_concat_null"] = "SELECT c_custkey, c_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE concat(c_name, nullif(n_name, 'NATION_6')) ILIKE '%1'"
 _index("comp_correlated", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer", "Customer", "counted")
 _SUMS = "SELECT o_orderkey, coalesce(sum(l_quantity), 0) AS pieces, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
 _index("comp_has_many_select", _SUMS, "Order", "sums")
 _index("comp_has_many_filter", _SUMS + " HAVING sum(l_quantity) > 200", "Order", "sums", filters={"pieces__gt": 200})
 _index("comp_has_many_sort", _SUMS + " ORDER BY pieces DESC, o_orderkey LIMIT 30", "Order", "sums", sorts=["pieces DESC", "o_orderkey"], limit=30)
 _index("comp_has_many_page", _SUMS + " ORDER BY o_orderkey LIMIT 30", "Order", "sums", sorts=["o_orderkey"], limit=30)
+_index("comp_false_is_not_null", "SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING NOT bool_or(l_quantity > 45)", "Order", "id", filters={"bulky": False})
+_index("inline_subquery", "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders", "Order", "inline")
 _stats("count_comp_filter", "SELECT count(*) AS count FROM (" + _SUMS + ") WHERE n_lines = 0", "Order", filters={"n_lines": 0})
 
 # Nested rows
@@ -281,8 +303,13 @@ _index("page_then_hydrate", _PAGE + "SELECT o_orderkey, o_totalprice, c_name, n_
 _index("recursive_chain", "WITH t AS (SELECT p_partkey, nullif(p_partkey // 2, 0) AS up FROM part) SELECT a.p_partkey, b.p_partkey AS up1, c.p_partkey AS up2, d.p_partkey AS up3 FROM t a LEFT JOIN t b ON a.up = b.p_partkey LEFT JOIN t c ON b.up = c.p_partkey LEFT JOIN t d ON c.up = d.p_partkey", "Node", "chain", _flat(p_partkey="p_partkey", up1="parent.p_partkey", up2="parent.parent.p_partkey", up3="parent.parent.parent.p_partkey"))
 _index("polymorphic", "SELECT c_custkey AS party_id, 'Customer' AS party_type, c_name AS name FROM customer UNION ALL SELECT s_suppkey, 'Supplier', s_name FROM supplier UNION ALL SELECT s_suppkey, 'Ghost', NULL FROM supplier", "Party", "item", _flat(party_id="party_id", party_type="party_type", name="variant_get(party, '$.name', 'string')"))
 
+_index("under_belongs_to", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey", "Customer", "market", lambda df: df.select("c_custkey", F.explode("nation.suppliers").alias("x")).select("c_custkey", "x.s_suppkey"))
+
 # Text
 
+_index("fmt_container_belongs_to", "SELECT c_custkey, n_name || '/' || r_name AS place FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "Customer", "placed")
+_index("fmt_nested", "SELECT c_custkey, '<' || n_name || '>' AS tag FROM customer JOIN nation ON c_nationkey = n_nationkey", "Customer", "tagged", _flat(c_custkey="c_custkey", tag="home.tag"))
+_index("localize_time", "SELECT event_id, strftime(ts, '%Y/%m/%d %Hh%M') AS at, strftime(ts, '%H:%M') AS clock FROM events", "Event", "stamped")
 _index("fmt_tokens", "SELECT o_orderkey, 'No. ' || o_orderkey || ' for ' || c_name || ' in ' || n_name AS line FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey", "Order", "labels")
 _index("fmt_slice", "SELECT c_custkey, substr(c_mktsegment, 1, 1) || substr(c_mktsegment, 2, 3) || '-' || substr(c_name, 10, 90) AS code FROM customer", "Customer", "slices")
 _index("fmt_ternary", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owes' WHEN c_mktsegment = 'BUILDING' THEN 'builds' ELSE substr(c_mktsegment, 1, 2) END AS word FROM customer", "Customer", "choices")
@@ -291,13 +318,22 @@ _index("fmt_container_has_many", "SELECT n_nationkey, coalesce(string_agg(s_name
 _index("nested_field", "SELECT c_custkey, r_name AS region_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey", "Customer", "copy")
 _index("internal_hidden", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owes' WHEN c_mktsegment = 'BUILDING' THEN 'builds' ELSE substr(c_mktsegment, 1, 2) END AS word FROM customer WHERE c_nationkey = 4", "Customer", "choices", filters={"c_nationkey": 4})
 _index("preset_alias", "SELECT c_custkey AS id, n_name AS home__n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", "Customer", "renamed", _flat(id="id", home__n_name="home.n_name"))
-_index("localize_dict", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' ELSE CAST(n_regionkey AS VARCHAR) END AS area FROM nation", "Nation", "words")
+_index("localize_dict", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 2 THEN 'wide' WHEN 3 THEN 'far' ELSE 'by its column' END AS area FROM nation", "Nation", "words")
 _index("localize_date", "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders", "Order", "dated")
 _index("extends_override", "SELECT n_nationkey, n_nationkey AS n_name, n_regionkey, n_regionkey AS r FROM nation", "Nation", "override")
-_index("include_template", "SELECT c_custkey, c_name || ' (' || c_custkey || ')' AS label FROM customer", "Customer", "labelled")
+_index("include_template", "SELECT c_custkey, '<' || c_name || '>' AS label, c_mktsegment, c_acctbal FROM customer", "Customer", "labelled")
+
 
+def child_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines where all parents together get 100, as the original service cuts them at 1000."""
+    made = engine(spark, sf_dir, child_cap=100).index({"model": "Order", "preset": "lines"})
+    return made.select("o_orderkey", F.explode("lineitems").alias("x")).select("o_orderkey", "x.l_linenumber")
 
-# Without SQL
+
+QUERIES["child_cap"], SQL["child_cap"] = child_cap, "SELECT l_orderkey AS o_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100"
+
+
+# Importer and logs
 
 
 def import_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,12 +348,26 @@ def import_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest purchases, from the events as a JSON log in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="presetlake-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or "file://" + mkdtemp(prefix="presetlake-")
     path = f"{base.rstrip('/')}/presetlake-log-{spark.sparkContext.applicationId}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = F.struct(F.lit("INFO").alias("level"), F.col("event_type").alias("msg"), F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user"))
-    events.select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
+    events.orderBy("event_id").select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
     return logs.scan(spark, path, level="info", message="purchase", key="user", limit=50).select("level", "msg", F.col("fields")["id"].alias("id"))
 
 
 QUERIES |= {"import_models": import_models, "log_scan": log_scan}
+SQL["log_scan"] = "SELECT 'INFO' AS level, event_type AS msg, CAST(event_id AS VARCHAR) AS id FROM events WHERE event_type LIKE '%purchase%' ORDER BY event_id DESC LIMIT 50"
+SQL["import_models"] = """
+SELECT model, preset, unnest(string_split(fields, ' ')) AS field FROM (VALUES
+  ('Region', 'item', 'id r_name'), ('Region', 'with_nation', 'nation'),
+  ('Nation', 'item', 'id n_name'), ('Nation', 'full_info', 'n_nationkey n_name n_regionkey n_regionkey'),
+  ('Nation', 'with_customer', 'customer'), ('Nation', 'with_supplier', 'supplier'),
+  ('Customer', 'item', 'id c_name'), ('Customer', 'full_info', 'c_custkey c_name c_nationkey c_acctbal c_mktsegment c_nationkey'), ('Customer', 'with_orders', 'orders'),
+  ('Supplier', 'item', 'id s_name'), ('Supplier', 'full_info', 's_suppkey s_name s_nationkey s_acctbal s_nationkey'),
+  ('Order', 'item', 'id o_orderstatus'), ('Order', 'full_info', 'o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority o_custkey')
+) t(model, preset, fields)
+"""

@@ -47,12 +47,18 @@ class Locale:
         layouts = {kind: spark_pattern(str(settings.get(name) or default)) for kind, (name, default) in _OPTIONS.items()}
         return cls({k: v for k, v in raw.items() if k != "layoutSettings"}, layouts)
 
-    def values(self, model: str, preset: str, key: str) -> dict[str, str]:
-        """Texts by value for a field: from model, preset and field, else preset and field, else the field alone."""
-        for path in ((model, preset, key), (preset, key), (key,)):
-            node: object = self.words
-            for step in path:
-                node = node.get(step) if isinstance(node, Mapping) else None
-            if isinstance(node, Mapping) and (found := {str(k).lower() if isinstance(k, bool) else str(k): str(v) for k, v in node.items() if not isinstance(v, Mapping)}):
-                return found
-        return {}
+    def values(self, model: str, preset: str, keys: tuple[str, ...]) -> dict[str, str]:
+        """Texts by value for a field.
+
+        Each value is looked for under the first key and then the others; under each key in model, preset and field, then
+        in preset and field, then in the field alone.
+        """
+        found: dict[str, str] = {}
+        for key in reversed(keys):
+            for path in ((key,), (preset, key), (model, preset, key)):
+                node: object = self.words
+                for step in path:
+                    node = node.get(step) if isinstance(node, Mapping) else None
+                if isinstance(node, Mapping):
+                    found |= {str(k).lower() if isinstance(k, bool) else str(k): str(v) for k, v in node.items() if not isinstance(v, Mapping)}
+        return found

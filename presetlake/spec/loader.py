@@ -113,9 +113,8 @@ def inherit(model: Model) -> Model:
 
 
 def include(model: Model, template: Model) -> Model:
-    """Fill up from a template: the model's relations win, key by key; the template's fields replace those of the same key.
-
-    A field whose alias is ``skip`` is left out on either side.
+    """Fill up from a template: the model's relations win, key by key; the model's fields replace the template's of the
+    same key where they stand, and new ones follow. A field whose alias is ``skip`` is left out on either side.
     """
     relations = dict(model.relations)
     for name, theirs in template.relations.items():
@@ -125,7 +124,7 @@ def include(model: Model, template: Model) -> Model:
     shown = lambda fs: tuple(f for f in fs if f.alias.strip() != "skip")
     for name, theirs in template.presets.items():
         own = presets.get(name)
-        presets[name] = theirs if own is None else replace(own, fields=_overlaid(shown(own.fields), shown(theirs.fields)), extends=own.extends or theirs.extends)
+        presets[name] = theirs if own is None else replace(own, fields=_overlaid(shown(theirs.fields), shown(own.fields)), extends=own.extends or theirs.extends)
     return replace(model, relations=relations, presets=presets)
 
 

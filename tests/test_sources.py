@@ -45,8 +45,9 @@ def test_layouts():
 
 def test_words_by_the_nearest_path():
     locale = Locale.of({"status": {0: "off", 1: "on"}, "card": {"status": {1: "ON"}}, "Person": {"card": {"status": {1: "present", "x": "else"}}}, "layoutSettings": {"ttime": "15h"}})
-    assert locale.values("Person", "card", "status")["1"] == "present" and locale.values("Pet", "card", "status") == {"1": "ON"}
-    assert locale.values("Pet", "item", "status") == {"0": "off", "1": "on"} and locale.values("Pet", "item", "name") == {}
+    assert locale.values("Person", "card", ("status",)) == {"0": "off", "1": "present", "x": "else"}
+    assert locale.values("Pet", "card", ("status",)) == {"0": "off", "1": "ON"} == locale.values("Pet", "card", ("name", "status"))
+    assert locale.values("Pet", "item", ("status",)) == {"0": "off", "1": "on"} and locale.values("Pet", "item", ("name",)) == {}
     assert locale.layouts == {"date": "yyyy-MM-dd", "time": "HH'h'", "datetime": "yyyy-MM-dd HH:mm:ss"}
 
 

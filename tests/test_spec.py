@@ -47,7 +47,7 @@ def test_includes_fill_up(tmp_path):
     (tmp_path / "Person.yml").write_text(yaml.safe_dump(model))
     (tmp_path / "templates" / "shared.yml").write_text(yaml.safe_dump(shared))
     person = Registry.load(tmp_path)["Person"]
-    assert keys(person, "item") == ["id", "a", "b"] and person.presets["item"].fields[1].type == "int"
+    assert keys(person, "item") == ["a", "b", "id"] and person.presets["item"].fields[0].type == "string"
     assert (person.relations["boss"].fk, person.relations["boss"].reentrant) == ("chief", True)
     assert person.relations["mate"].fk == "person_id" and "d" in keys(person, "more")
     with pytest.raises(ModelError):
