@@ -3,7 +3,8 @@
 Vectors are floored to integers, ordered by descending length and packed into blocks. In the frame of the singular
 vectors of a bounded sample, the first ``HEAD`` coordinates give a partial sum, and Cauchy-Schwarz on the lengths of the
 rest an upper bound; what can't reach a query's k-th best score so far is pruned, and only survivors are scored, in
-integers. Each query first sees the block of the longest vectors, which sets its threshold for all other blocks.
+integers. Each query first sees the longest vectors of all, which sets its threshold; whole blocks whose longest vector
+can't reach it are pruned before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from presetlake.llm.common import ship, store
 SCALE, K, HEAD = 1024, 10, 16
 #: Vectors of a block, of a step within it, and queries of a block; vectors that the rotation is fitted on.
 BLOCK, STEP, QUERIES, SAMPLE = 8_192, 1_024, 256, 4_096
+#: Blocks whose greatest length is known to all, at most; query blocks that meet a block together.
+KNOWN, TOGETHER = 4_096, 16
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -37,18 +40,29 @@ def rotation(sample: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Vectors in descending length, with their rotated heads and the lengths of the rest."""
+    """Vectors in descending length, with their row numbers, rotated heads and the lengths of the rest."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         turned = vectors @ turn
         head = min(HEAD, vectors.shape[1])
         self.head, self.rest = turned[:, :head], np.sqrt(np.square(turned[:, head:]).sum(1))
         self.length = np.sqrt(np.square(vectors.astype(np.float64)).sum(1))
 
+    def part(self, chosen) -> Block:
+        out = object.__new__(Block)
+        for name, value in vars(self).items():
+            setattr(out, name, value[chosen])
+        return out
 
-def search(queries: Block, floor: np.ndarray, block: Block, k: int = K) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """``(query_id, vec_id, score)`` of each query's k best here that may still be among its k best of all, and its new threshold.
+
+def _slack(reach: np.ndarray) -> np.ndarray:
+    """What rounding may take from a bound."""
+    return 1e-6 * reach + 1
+
+
+def search(queries: Block, floor: np.ndarray, block: Block, k: int = K) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """``(row, query_id, vec_id, score)`` of each query's k best here that may still be among its k best of all, and its new threshold.
 
     ``floor`` is the k-th best score that a query has seen, or the smallest integer.
     """
@@ -60,7 +74,7 @@ def search(queries: Block, floor: np.ndarray, block: Block, k: int = K) -> tuple
     for at in range(0, len(block.ids), STEP):
         end = at + STEP
         reach = queries.length * block.length[at:end].max()
-        slack = 1e-6 * reach + 1
+        slack = _slack(reach)
         live = np.flatnonzero(reach + slack >= floor)
         if not len(live):
             break
@@ -68,7 +82,7 @@ def search(queries: Block, floor: np.ndarray, block: Block, k: int = K) -> tuple
         fits = bound + slack[live, None] >= floor[live, None]
         for row, q in enumerate(live):
             chosen = at + np.flatnonzero(fits[row])
-            chosen = chosen[block.ids[chosen] != queries.ids[q]]
+            chosen = chosen[block.rows[chosen] != queries.rows[q]]
             if not len(chosen):
                 continue
             scores = (floats[chosen] @ queries.vectors[q].astype(np.float64)).astype(np.int64) if exact else block.vectors[chosen] @ queries.vectors[q]
@@ -77,12 +91,28 @@ def search(queries: Block, floor: np.ndarray, block: Block, k: int = K) -> tuple
             best[q] = ids[order], held[order]
             if len(order) == k:
                 floor[q] = max(floor[q], best[q][1][-1])
-    return [(int(queries.ids[q]), int(i), int(s)) for q, (ids, scores) in enumerate(best) for i, s in zip(ids, scores) if s >= floor[q]], floor
+    return [(int(queries.rows[q]), int(queries.ids[q]), int(i), int(s)) for q, (ids, scores) in enumerate(best) for i, s in zip(ids, scores) if s >= floor[q]], floor
 
 
 _LEAST = np.iinfo(np.int64).min
 
 
+def reach_needed(queries: Block, floor: np.ndarray) -> float:
+    """The least length of a vector that may reach the threshold of one of the queries; with no length no query reaches one over 0."""
+    if (floor == _LEAST).any():
+        return -np.inf
+    need = np.where(floor > 0, (floor - 2) / np.maximum(queries.length * (1 + 2e-6), 1e-300), -np.inf)
+    return float(need.min(initial=np.inf))
+
+
+def _bytes(vectors: np.ndarray) -> bytes:
+    return vectors.astype(np.int32 if np.abs(vectors).max(initial=0) < 2**31 else np.int64).tobytes()
+
+
+def _vectors(data: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, np.int64 if len(data) == 8 * rows * dims else np.int32).reshape(rows, dims).astype(np.int64)
+
+
 def _packed(dims: int):
     """One row for each partition: ids and vectors, longest first."""
 
@@ -95,48 +125,88 @@ def _packed(dims: int):
                 parts.append(_matrix(batch["embedding"], dims))
         if ids:
             ids, vectors = np.concatenate(ids), np.concatenate(parts)
-            order = np.lexsort((ids, -np.square(vectors.astype(np.float64)).sum(1)))
-            yield pd.DataFrame({"block": [at], "ids": [ids[order].tobytes()], "vectors": [vectors[order].tobytes()]})
+            square = np.square(vectors.astype(np.float64)).sum(1)
+            order = np.lexsort((ids, -square))
+            yield pd.DataFrame({"block": [at], "longest": [float(np.sqrt(square.max()))], "ids": [ids[order].tobytes()], "vectors": [_bytes(vectors[order])]})
 
     return run
 
 
-def _pack(rows: DataFrame, dims: int) -> DataFrame:
-    return rows.withColumn("part", F.spark_partition_id()).mapInPandas(_packed(dims), "block int, ids binary, vectors binary")
+def _opened(turn: np.ndarray, number: int, ids: bytes, vectors: bytes) -> Block:
+    """A row's number is its block's, and its place there."""
+    held = np.frombuffer(ids, np.int64)
+    return Block((int(number) << 32) + np.arange(len(held)), held, _vectors(vectors, len(held), len(turn)), turn)
 
 
-def _searched(shared, k: int):
+_FOUND = "rows array<struct<row:long,query_id:long,vec_id:long,score:long>>"
+_ASKS = "q_block long, at binary, ids binary, vectors binary, floor binary, need double, " + _FOUND
+
+
+def _structs(rows: list[tuple[int, int, int, int]]) -> list[dict]:
+    return [dict(zip(("row", "query_id", "vec_id", "score"), r)) for r in rows]
+
+
+def _asking(shared, every: int, k: int):
+    """The queries of each block, in blocks of their own, after a search of the longest vectors of all."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = shared.value
-        dims = len(turn)
+        turn, seed, _ = shared.value
+        longest = _opened(turn, *seed)
+        for batch in batches:
+            for x in batch.itertuples():
+                asked = np.flatnonzero(np.frombuffer(x.ids, np.int64) % every == 0)
+                whole = _opened(turn, x.block, x.ids, x.vectors) if len(asked) else None
+                for n, at in enumerate(range(0, len(asked), QUERIES)):
+                    queries = whole.part(asked[at : at + QUERIES])
+                    rows, floor = search(queries, np.full(len(queries.ids), _LEAST), longest, k)
+                    yield pd.DataFrame({"q_block": [(x.block << 20) + n], "at": [queries.rows.tobytes()], "ids": [queries.ids.tobytes()], "vectors": [_bytes(queries.vectors)], "floor": [floor.tobytes()], "need": [reach_needed(queries, floor)], "rows": [_structs(rows)]})
+
+    return run
+
 
-        def block(ids: bytes, vectors: bytes) -> Block:
-            return Block(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dims), turn)
+def _searched(shared, k: int):
+    """A block and the query blocks that it may hold something for."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn, seed, first = shared.value
         for batch in batches:
             for x in batch.itertuples():
-                queries = block(x.q_ids, x.q_vectors)
-                rows, floor = search(queries, np.frombuffer(x.floor, np.int64), block(x.ids, x.vectors), k)
-                yield pd.DataFrame({"q_block": [x.q_block], "floor": [floor.tobytes()], "rows": [[{"query_id": a, "vec_id": b, "score": c} for a, b, c in rows]]})
+                block = _opened(turn, x.block, x.ids, x.vectors)
+                if x.block == first:
+                    block = block.part(slice(len(seed[1]) // 8, None))  # what all queries have seen
+                for q in x.asks:
+                    ids = np.frombuffer(q["ids"], np.int64)
+                    queries = Block(np.frombuffer(q["at"], np.int64), ids, _vectors(q["vectors"], len(ids), len(turn)), turn)
+                    yield pd.DataFrame({"rows": [_structs(search(queries, np.frombuffer(q["floor"], np.int64), block, k)[0])]})
 
     return run
 
 
-_FOUND = "q_block int, floor binary, rows array<struct<query_id:long,vec_id:long,score:long>>"
+def pairs(asks: DataFrame, known: list[tuple[int, float]], last: int) -> DataFrame:
+    """``asks`` once for each ``block`` that may hold something for it.
+
+    Blocks are numbered by descending length. ``known`` has the greatest lengths of some, the first included; the blocks
+    up to the next known one that is too short are searched.
+    """
+    ends = [b for b, _ in known[1:]] + [last + 1]
+    lengths = F.array(*(F.lit(x) for _, x in known))
+    n = F.size(F.filter(lengths, lambda x: x >= F.col("need")))
+    return asks.withColumn("until", F.get(F.array(*(F.lit(b) for b in ends)), n - 1)).where("until is not null").withColumn("block", F.explode(F.sequence(F.lit(known[0][0]), F.col("until") - 1))).drop("until")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``, against all rows.
+    """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``, against all rows but the query's own.
 
     Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids. Shorter vectors count
-    as filled up with zeros. A repeated row is a candidate as often as it occurs; an id that repeats asks once, for its
-    smallest vector, and never finds itself. Ties go to the smaller id. Components must keep products within a long.
+    as filled up with zeros. Of rows with the same id each asks, and finds the others. Ties go to the smaller id.
+    Components must keep products within a long.
 
-    Query blocks meet vector blocks in an equi-join on the block's number; no block grows with the table.
+    The longest vectors of all, ``STEP`` at most, and ``KNOWN`` lengths are broadcast. Query blocks are shuffled only to
+    blocks whose longest vector may reach a threshold of theirs, and meet each in groups of ``TOGETHER``.
     """
     spark = vectors.sparkSession
     ship(spark)
-    usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where(
+    usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.monotonically_increasing_id().alias("rid")).where(
         F.expr("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     )
     n, dims = usable.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
@@ -144,33 +214,32 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, id_col: str = "vec_i
         return spark.range(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     dims = max(1, dims)
     sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["embedding"]
-    shared = spark.sparkContext.broadcast(rotation(_matrix(sample, dims).astype(np.float64)))
+    turn = rotation(_matrix(sample, dims).astype(np.float64))
     length = F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)")
-    blocks = store(_pack(usable.withColumn("length", -length).repartitionByRange(-(-n // BLOCK), "length", "vec_id"), dims))
-    asked = usable.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    count = max(1, -(-n // every // QUERIES))
-    asks = _pack(asked.repartition(count, "vec_id"), dims).toDF("q_block", "q_ids", "q_vectors").withColumn("floor", F.expr(f"unhex(repeat('{np.array([_LEAST]).tobytes().hex()}', cast(length(q_ids) / 8 as int)))"))
-    asks = store(asks)
+    ranged = usable.withColumn("length", -length).repartitionByRange(-(-n // BLOCK), "length", "vec_id", "rid").drop("rid")
+    blocks = store(ranged.withColumn("part", F.spark_partition_id()).mapInPandas(_packed(dims), "block int, longest double, ids binary, vectors binary"))
     first, last = blocks.agg(F.min("block"), F.max("block")).first()
-    head = store(asks.withColumn("block", F.lit(first)).join(blocks, "block").mapInPandas(_searched(shared, k), _FOUND))
-    aware = asks.drop("floor").join(head.select("q_block", "floor"), "q_block")
-    spread = aware.withColumn("block", F.explode(F.sequence(F.lit(first + 1), F.lit(last)) if last > first else F.expr("cast(array() as array<int>)")))
-    later = spread.join(blocks, "block").mapInPandas(_searched(shared, k), _FOUND)
-    found = head.unionByName(later).select(F.explode("rows").alias("x")).select("x.*")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    seed = blocks.where(F.col("block") == first).select("block", F.substring("ids", 1, 8 * STEP).alias("ids"), F.expr(f"substring(vectors, 1, length(vectors) div (length(ids) div 8) * {STEP})").alias("vectors")).first()
+    known = [tuple(r) for r in blocks.where((F.col("block") - first) % -(-(last - first + 1) // KNOWN) == 0).select("block", "longest").orderBy("block").collect()]
+    shared = spark.sparkContext.broadcast((turn, tuple(seed), first))
+    asks = store(blocks.select("block", "ids", "vectors").mapInPandas(_asking(shared, every, k), _ASKS))
+    wanted = pairs(asks.drop("rows"), known, last).groupBy("block", F.expr(f"pmod(xxhash64(q_block), {max(1, -(-n // every // QUERIES) // TOGETHER)})").alias("together")).agg(F.collect_list(F.struct("at", "ids", "vectors", "floor")).alias("asks"))
+    later = wanted.select("block", "asks").join(blocks.select("block", "ids", "vectors"), "block").mapInPandas(_searched(shared, k), _FOUND)
+    found = asks.select("rows").unionByName(later).select(F.explode("rows").alias("x")).select("x.*")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL for the query over embeddings, by scoring every pair.
 ORACLE_SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, p.vec_id,
+  SELECT q.r, q.vec_id AS query_id, p.vec_id,
          list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * p.e[i]))::BIGINT AS score
-  FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
+  FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.r <> q.r),
 ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= {K}
 """

@@ -83,7 +83,8 @@ def test_vectors(spark):
     of = lambda q: [(r.rank, r.vec_id, r.score) for r in sorted(found, key=lambda r: (r.query_id, r.rank)) if r.query_id == q]
     one, half = 1024 * 1024, 512 * 1024
     assert of(0) == [(1, 8, 2 * one), (2, 7, one), (3, 100, half), (4, 100, half), (5, 9, 0)]
-    assert of(100) == [(1, 8, one), (2, 0, half), (3, 7, half), (4, 9, 0)]
+    # Each row of an id that repeats asks, and finds its twin.
+    assert of(100) == [x for x in [(1, 8, one), (2, 0, half), (3, 7, half), (4, 100, half), (5, 9, 0)] for _ in range(2)]
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert topk.top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")).collect() == []
 

@@ -440,15 +440,48 @@ def test_top_k(spark, monkeypatch, sizes):
     assert len(got) == 70
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    """Many rows of one id and one vector, over several blocks: each asks, and leaves out itself only."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    draw = np.random.default_rng(9)
+    vectors = np.concatenate([np.repeat(draw.normal(size=(1, 6)), 90, 0), draw.normal(size=(200, 6)), draw.normal(size=(10, 6)) * 1e-4])
+    ids = [100] * 70 + [7] * 20 + list(range(90, 290)) + [400, 400, 400, 401, 402, 403, 404, 405, 406, 500]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    want = defaultdict(list)
+    for q, i in enumerate(ids):
+        if i % 100 == 0:
+            best = sorted((-int(whole[q] @ whole[p]), j) for p, j in enumerate(ids) if p != q)[:10]
+            want[i] += [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()} and len(want[100]) == 710
+
+
+def _block(ids, vectors, turn):
+    return topk.Block(np.asarray(ids), np.asarray(ids), vectors, turn)
+
+
 def test_pruning_skips_work_but_no_result():
     draw = np.random.default_rng(1)
     vectors = np.floor(draw.normal(size=(4_000, 32)) * np.linspace(4000, 1, 4_000)[:, None]).astype(np.int64)
     turn = topk.rotation(vectors[:500].astype(float))
-    block = topk.Block(np.arange(4_000), vectors, turn)
-    ask = topk.Block(np.arange(3), vectors[:3], turn)
+    block = _block(np.arange(4_000), vectors, turn)
+    ask = _block(np.arange(3), vectors[:3], turn)
     rows, floor = topk.search(ask, np.full(3, np.iinfo(np.int64).min), block)
     assert len(rows) == 30 and (floor > 0).all()
-    assert topk.search(ask, floor, topk.Block(block.ids[3_000:], vectors[3_000:], turn))[0] == []
+    assert topk.search(ask, floor, _block(block.ids[3_000:], vectors[3_000:], turn))[0] == []
+    assert block.length[3_000] < topk.reach_needed(ask, floor) < block.length[0]
+
+
+def test_blocks_too_short_for_a_query_are_never_joined(spark):
+    """23 of 80 pairs are left; with every second length known, 26."""
+    lengths = [(b, 100.0 - 5 * b) for b in range(20)]
+    asks = spark.createDataFrame([(1, 96.0), (2, 50.0), (3, 49.0), (4, 1_000.0)], "q_block long, need double")
+    count = lambda known: {r.q_block: r["count"] for r in topk.pairs(asks, known, 19).groupBy("q_block").count().collect()}
+    assert count(lengths) == {1: 1, 2: 11, 3: 11}
+    assert count(lengths[::2]) == {1: 2, 2: 12, 3: 12}
+    assert count(lengths[:1]) == {1: 20, 2: 20, 3: 20}
 
 
 def test_shards_are_even_and_steady():
