@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from presetlake.llm.common import fold, ship
 
-#: Labelled rows of each class that are drawn, about; bytes of a dictionary and of a block; the level.
-SAMPLE, DICTIONARY, BLOCK, LEVEL = 3_000, 32_768, 1_024, 3
+#: Labelled rows of each class that are drawn, about, and blocks of their text that a dictionary is built from, at most;
+#: bytes of a dictionary and of a block; the level.
+SAMPLE, BLOCKS, DICTIONARY, BLOCK, LEVEL = 3_000, 6_000, 32_768, 1_024, 3
 THRESHOLD = 0.3
 
 
@@ -84,10 +85,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] | None = (5, 0), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from labelled rows whose fold (crc32 of the id) isn't the one held out.
 
-    About ``sample`` rows of each class, picked by a hash, of texts shorter than 100,000 characters: two thirds for the
-    dictionaries, the rest, weighted by the classes' true shares, for the curve. Labels other than 0 and 1 and null ids
-    or texts teach nothing. Without labels every score is the prior, or 0.5.
+    About ``sample`` rows of each class are picked by a hash, of any length: two thirds for the dictionaries, the rest,
+    weighted by the classes' true shares, for the curve. The driver gets ``BLOCKS`` blocks of ``BLOCK`` characters of each
+    class at most, and one number for each row of the curve. Labels other than 0 and 1 and null ids or texts teach
+    nothing. Without labels every score is the prior, or 0.5.
     """
+    ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if held_out:
         known = known.where(fold("id", held_out[0]) != held_out[1])
@@ -97,18 +100,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tupl
     prior = (seen.get(1, 0) + 1) / (sum(seen.values()) + 2)
     share = F.create_map(*(F.lit(v) for y, n in seen.items() for v in (y, min(1.0, sample / n))))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("y")] * F.lit(1 << 20)).orderBy(F.xxhash64("id"), "y").limit(4 * sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, 100_000))
-    # The drawn rows are 4 * sample at most.
-    picked = texts.join(F.broadcast(drawn), "id").orderBy(F.xxhash64("id"), "y").limit(4 * sample).select("text", "y").toPandas()
-    own = {y: list(picked.loc[picked["y"] == y, "text"]) for y in (1, 0)}
-    parts = {y: ([t for i, t in enumerate(ts) if len(ts) < 6 or i % 3], [t for i, t in enumerate(ts) if len(ts) < 6 or i % 3 == 0]) for y, ts in own.items()}
-    model = Model(*(dictionary(parts[y][0]) if parts[y][0] else b"" for y in (1, 0)), 0.0, math.log(prior / (1 - prior)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    # The drawn rows are 4 * sample at most; few rows of a class serve for both.
+    few = [y for y in (0, 1) if seen.get(y, 0) < 6]
+    third = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3)) == 0
+    rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "y", (third | F.col("y").isin(few)).alias("curve"), (~third | F.col("y").isin(few)).alias("build"))
+    blocks = rows.where("build").select("y", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block"))
+    order = [F.xxhash64("block"), "block"]
+    taken = {y: [r["block"] for r in blocks.where(F.col("y") == y).orderBy(*order).limit(BLOCKS).select("block").collect()] for y in (1, 0)}
+    model = Model(*(dictionary(taken[y]) if taken[y] else b"" for y in (1, 0)), 0.0, math.log(prior / (1 - prior)))
     if not (model.good and model.bad):
         return model
-    scorer = Scorer(model)
-    x = np.array([scorer.difference(t) for y in (1, 0) for t in parts[y][1]])
-    y = np.repeat([1.0, 0.0], [len(parts[1][1]), len(parts[0][1])])
-    weight = np.where(y == 1, prior / len(parts[1][1]), (1 - prior) / len(parts[0][1])) * len(y)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def difference(column: pd.Series) -> pd.Series:
+        scorer = Scorer(shared.value)
+        return pd.Series([scorer.difference(t) for t in column], dtype="float64")
+
+    curve = rows.where("curve").select("y", difference("text").alias("x")).orderBy("y", "x").limit(4 * sample).toPandas()
+    x, y = curve["x"].to_numpy(float), curve["y"].to_numpy(float)
+    if len(set(y)) < 2:
+        return model
+    weight = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()) * len(y)
     model.slope, model.offset = logistic(x, y, weight)
     return model
 

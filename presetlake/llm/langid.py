@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from presetlake.llm.common import fold, ship
 
-#: Hash buckets of n-grams; n-gram sizes; labelled documents that the weights are fitted on, at most about twice; share
-#: of each language in these at least, so that many languages make the sample larger.
-BUCKETS, SIZES, SAMPLE, EACH = 1 << 15, (1, 2, 3), 2_000, 8
+#: Hash buckets of n-grams; n-gram sizes; blocks of labelled text that the weights are fitted on, at most about twice;
+#: share of each language in these at least, so that many languages make the sample larger; characters of a block.
+BUCKETS, SIZES, SAMPLE, EACH, BLOCK = 1 << 15, (1, 2, 3), 2_000, 8, 8_192
 UNKNOWN = "und"
 _PIECE = 1 << 18
 
@@ -29,7 +29,7 @@ def counts(text: str) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
     out = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(points), _PIECE):
-        part = points[at : at + _PIECE + max(SIZES) - 1]
+        part, found = points[at : at + _PIECE + max(SIZES) - 1], []
         for n in SIZES:
             grams = min(_PIECE, len(part) - n + 1)
             if grams > 0:
@@ -37,7 +37,8 @@ def counts(text: str) -> np.ndarray:
                 for k in range(n):
                     h = (h ^ part[k : k + grams]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
-                out += np.bincount((h >> np.uint64(17)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
+                found.append((h >> np.uint64(17)).astype(np.int64) & (BUCKETS - 1))
+        out += np.bincount(np.concatenate(found), minlength=BUCKETS)
     return out
 
 
@@ -129,26 +130,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] | None
     """Learn from rows with text and language whose fold (crc32 of the id) isn't the one held out.
 
     All languages are learned; each costs the driver 0.5 MB while the weights are fitted. Each gives about an equal share
-    of the sample, and one document at least, picked by a hash, of texts shorter than 100,000 characters.
+    of the sample, and one block at least: texts of any length are cut into blocks of ``BLOCK`` to twice as many
+    characters, of which a hash draws some, so the driver gets ``2 * sample`` blocks at most.
     Without any such row the model has no language and predicts ``und``.
     """
     ship(docs.sparkSession)
     learn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     if held_out:
         learn = learn.where(fold("id", held_out[0]) != held_out[1])
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
-    seen = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.length("text") < 100_000, place)).alias("least")).collect()
+    blocks = F.expr(f"greatest(1, length(text) div {BLOCK})")
+    places = F.expr(f"transform(sequence(0L, greatest(1, length(text) div {BLOCK}) - 1), k -> struct(k, pmod(xxhash64(id, sig, k), {1 << 20}) as place))")
+    placed = learn.withColumn("sig", F.xxhash64("text")).withColumn("blocks", places)
+    seen = placed.groupBy("lang").agg(F.sum(blocks).alias("n"), F.min(F.expr("array_min(transform(blocks, b -> b.place))")).alias("least")).collect()
     languages = sorted(r["lang"] for r in seen)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     sample = max(sample, EACH * len(languages))
     documents, rows = _frequencies(learn)
     idf = np.log((1 + rows) / (1 + documents)) + 1
-    share = F.create_map(*(F.lit(v) for r in seen for v in (r["lang"], max(min(1.0, sample / len(seen) / r["n"]) * (1 << 20), (r["least"] or 0) + 1.0))))
-    drawn = place < share[F.col("lang")]
-    picked = learn.where(drawn & (F.length("text") < 100_000)).orderBy(F.xxhash64("text", "id")).limit(2 * sample).select("text", "lang").toPandas()
-    if picked.empty:
-        picked = learn.limit(sample).select("text", "lang").toPandas()
+    share = F.create_map(*(F.lit(v) for r in seen for v in (r["lang"], max(min(1.0, sample / len(seen) / r["n"]) * (1 << 20), r["least"] + 1.0))))
+    drawn = placed.withColumn("share", share[F.col("lang")]).select("lang", "id", "sig", "text", F.explode(F.expr("filter(blocks, b -> b.place < share)")).alias("b"))
+    whole = f"substring(text, cast(b.k * {BLOCK} as int) + 1, if(b.k = greatest(1, length(text) div {BLOCK}) - 1, {2 * BLOCK}, {BLOCK}))"
+    picked = drawn.select("lang", F.expr(whole).alias("text"), "b.place", "id", "sig", "b.k").orderBy("place", "id", "sig", "k", "lang").limit(2 * sample).select("text", "lang").toPandas()
     index = {lang: i for i, lang in enumerate(languages)}
     vectors = [(*_vector(t, idf), index[lang]) for t, lang in zip(picked["text"], picked["lang"])]
     few = len(vectors) < 50
