@@ -9,51 +9,53 @@ from presetlake.spec.loader import Registry
 
 
 def test_names():
-    assert [naming.singular(x) for x in ("people", "statuses", "categories", "boxes", "classes", "users", "class")] == ["person", "status", "category", "box", "class", "user", "class"]
-    assert naming.model_name("person_contacts") == "PersonContact"
-    assert [naming.relation_name(x) for x in ("author_id", "authorId", "owner", "id")] == ["author", "author", "owner", "id"]
-    assert naming.name_column({"id": "int", "code": "string", "title": "string", "short_name": "string"}, "id") == "short_name"
-    assert naming.name_column({"id": "int"}, "id") is None and naming.id_column({"a": "int", "b": "int"}, ["a", "b"]) is None
+    assert [naming.singular(x) for x in ("berries", "boxes", "glasses", "gardens", "people", "glass")] == ["berry", "box", "glass", "garden", "person", "glass"]
+    assert naming.model_name("garden_beds") == "GardenBed"
+    assert [naming.relation_name(x) for x in ("grower_id", "growerId", "mother", "id")] == ["grower", "grower", "mother", "id"]
+    assert naming.name_column({"id": "int", "latin": "string", "title": "string", "short_name": "string"}, "id") == "short_name"
+    assert naming.name_column({"id": "int"}, "id") is None and naming.id_column({"x": "int", "y": "int"}, ["x", "y"]) is None
 
 
 def test_tables(spark):
     tables = {
-        "users": spark.createDataFrame([], "id int, name string, born date"),
-        "posts": spark.createDataFrame([], "post_key bigint, title string, author_id int, editor_id int, score double, at timestamp_ntz, ok boolean"),
-        "pairs": spark.createDataFrame([], "a int, b int"),
+        "growers": spark.createDataFrame([], "id int, name string, joined date"),
+        "plants": spark.createDataFrame([], "plant_no bigint, name string, grower_id int, keeper_id int, height double, sown timestamp_ntz, hardy boolean"),
+        "grafts": spark.createDataFrame([], "stock int, scion int"),
     }
-    made = from_tables(tables, {("posts", "author_id"): ("users", "id"), ("posts", "editor_id"): ("users", "id")}, {"posts": ["post_key"], "pairs": ["a", "b"]})
-    assert set(made) == {"User", "Post"}  # nothing identifies a pair
-    post, user = made["Post"], made["User"]
-    assert post["presets"]["item"]["fields"][0] == {"source": "post_key", "type": "int", "alias": "id"} and post["primary_keys"] == ["post_key"]
-    assert [f["type"] for f in post["presets"]["full_info"]["fields"]] == ["int", "string", "int", "int", "float", "datetime", "bool", "preset", "preset"]
-    assert set(user["relations"]) == {"posts", "posts_2"} and {"with_posts", "with_posts_2"} <= set(user["presets"])
-    assert set(Registry(made)) == {"User", "Post"}
-    assert set(from_tables(tables, {("posts", "author_id"): ("users", "id")}, only_simple=True)) == {"User"}
+    keys = {("plants", "grower_id"): ("growers", "id"), ("plants", "keeper_id"): ("growers", "id")}
+    made = from_tables(tables, keys, {"plants": ["plant_no"], "grafts": ["stock", "scion"]})
+    assert set(made) == {"Grower", "Plant"}  # nothing identifies a graft
+    plant, grower = made["Plant"], made["Grower"]
+    assert plant["presets"]["item"]["fields"][0] == {"source": "plant_no", "type": "int", "alias": "id"} and plant["primary_keys"] == ["plant_no"]
+    assert [f["type"] for f in plant["presets"]["full_info"]["fields"]] == ["int", "string", "int", "int", "float", "datetime", "bool", "preset", "preset"]
+    assert set(grower["relations"]) == {"plants", "plants_2"} and {"with_plants", "with_plants_2"} <= set(grower["presets"])
+    assert set(Registry(made)) == {"Grower", "Plant"}
+    assert set(from_tables(tables, dict([*keys.items()][:1]), only_simple=True)) == {"Grower"}
 
 
 SCHEMA = """
-enum Role {
-  USER
-  ADMIN
+enum Soil {
+  CLAY
+  SAND
+  PEAT
 }
-model User {
-  id    Int    @id @default(autoincrement())
-  name  String? // shown
-  role  Role   @default(USER)
-  posts Post[]
-  @@map("users")
+model Bed {
+  id     Int     @id @default(autoincrement())
+  label  String? // on the sign
+  soil   Soil    @default(SAND)
+  plants Plant[]
+  @@map("beds")
 }
-model Post {
-  id       Int   @id
-  title    String
-  authorId Int
-  author   User  @relation(fields: [authorId], references: [id])
-  @@map("posts")
+model Plant {
+  id    Int    @id
+  name  String
+  bedId Int
+  bed   Bed    @relation(fields: [bedId], references: [id])
+  @@map("plants")
 }
-model Area {
-  areaUuid String @id @db.Uuid
-  name     String
+model Tool {
+  toolKey String @id @db.Uuid
+  name    String
 }
 """
 
@@ -61,41 +63,41 @@ model Area {
 def test_prisma(tmp_path):
     models, words = prisma.read(SCHEMA)
     registry = Registry(models)
-    user, post = registry["User"], registry["Post"]
-    assert (user.table, user.relations["posts"].fk, post.relations["author"].fk) == ("users", "authorId", "authorId")
-    assert "with_posts" in user.presets and [f.key for f in post.presets["full_info"].fields] == ["id", "title", "authorId", "author"]
-    assert next(f for f in user.presets["item"].fields if f.source == "role").localize and words == {"role": {0: "USER", 1: "ADMIN"}}
-    assert models["Area"]["presets"]["item"]["fields"][0] == {"source": "areaUuid", "type": "UUID", "alias": "id"}
-    path = tmp_path / "en.yml"
-    path.write_text('role:\n  "0": OLD\nname:\n  "0": ZERO\n')
+    bed, plant = registry["Bed"], registry["Plant"]
+    assert (bed.table, bed.relations["plants"].fk, plant.relations["bed"].fk) == ("beds", "bedId", "bedId")
+    assert "with_plants" in bed.presets and [f.key for f in plant.presets["full_info"].fields] == ["id", "name", "bedId", "bed"]
+    assert next(f for f in bed.presets["full_info"].fields if f.source == "soil").localize and words == {"soil": {0: "CLAY", 1: "SAND", 2: "PEAT"}}
+    assert models["Tool"]["presets"]["item"]["fields"][0] == {"source": "toolKey", "type": "UUID", "alias": "id"}
+    path = tmp_path / "de.yml"
+    path.write_text('soil:\n  "1": Sand\nweed:\n  "4": Quecke\n')
     prisma.merge_words(path, words)
-    assert yaml.safe_load(path.read_text()) == {"role": {"0": "OLD", "1": "ADMIN"}, "name": {"0": "ZERO"}}
+    assert yaml.safe_load(path.read_text()) == {"soil": {"0": "CLAY", "1": "Sand", "2": "PEAT"}, "weed": {"4": "Quecke"}}
+
+
+BASE = {
+    "Bed": {"table": "beds", "relations": {"plants": {"type": "has_many", "model": "Plant", "fk": "bed_id"}}, "presets": {"item": {"fields": [{"source": "id", "type": "int"}, {"source": "label", "type": "string"}]}}},
+    "Plant": {"table": "plants", "presets": {"item": {"fields": [{"source": "id", "type": "int"}, {"source": "name", "type": "string"}]}}},
+}
 
 
 def test_selections():
-    base = {
-        "User": {"table": "users", "relations": {"posts": {"type": "has_many", "model": "Post", "fk": "author_id"}}, "presets": {"item": {"fields": [{"source": "id", "type": "UUID"}, {"source": "email", "type": "string"}]}}},
-        "Post": {"table": "posts", "presets": {"item": {"fields": [{"source": "id", "type": "UUID"}, {"source": "title", "type": "string"}]}}},
-    }
-    chosen = ["id", {"displayEmail": "email"}, {"posts": ["id", "title"]}]
-    made, warnings = selection.add_presets(base, "user", chosen, "GetUserCard")
-    assert warnings == [] and "GetUserCard" not in str(base)
-    name = selection.preset_name("user", "GetUserCard", chosen)
-    inner = selection.preset_name("posts", "GetUserCard", ["id", "title"], ("posts",))
-    fields = made["User"]["presets"][name]["fields"]
-    assert fields[1] == {"source": "email", "alias": "displayEmail", "type": "string"} and fields[2]["preset"] == inner
-    assert inner in made["Post"]["presets"] and Registry(made)
-    _, warnings = selection.add_presets(base, "user", ["id", {"friends": ["id"]}, "age"])
-    assert len(warnings) == 2 and selection.add_presets(base, "robot", ["id"])[1]
-    held = {"User": base["User"] | {"presets": {selection.preset_name("user", "", ["id"]): {"fields": []}}}}
-    assert selection.add_presets(held, "user", ["id"])[0]["User"] == held["User"]
-    assert selection.add_presets(held, "user", ["id"], replace=True)[0]["User"] != held["User"]
+    chosen = [{"sign": "label"}, "id", {"plants": ["name", "id"]}]
+    made, warnings = selection.add_presets(BASE, "bed", chosen, "BedSheet")
+    assert warnings == [] and "BedSheet" not in str(BASE)
+    fields = made["Bed"]["presets"][selection.preset_name("bed", "BedSheet", chosen)]["fields"]
+    inner = selection.preset_name("plants", "BedSheet", ["name", "id"], ("plants",))
+    assert fields[0] == {"source": "label", "alias": "sign", "type": "string"} and fields[2]["preset"] == inner
+    assert inner in made["Plant"]["presets"] and Registry(made)
+    assert len(selection.add_presets(BASE, "bed", ["id", {"birds": ["id"]}, "depth"])[1]) == 2 and selection.add_presets(BASE, "pond", ["id"])[1]
+    held = {"Bed": BASE["Bed"] | {"presets": {selection.preset_name("bed", "", ["id"]): {"fields": []}}}}
+    assert selection.add_presets(held, "bed", ["id"])[0]["Bed"] == held["Bed"]
+    assert selection.add_presets(held, "bed", ["id"], replace=True)[0]["Bed"] != held["Bed"]
 
 
 def test_files(tmp_path, capsys):
     (tmp_path / "schema.prisma").write_text(SCHEMA)
-    main(["--prisma-schema", str(tmp_path / "schema.prisma"), "--out", str(tmp_path / "models"), "--locale", str(tmp_path / "en.yml")])
-    assert set(Registry.load(tmp_path / "models")) == {"User", "Post", "Area"} and (tmp_path / "en.yml").exists()
+    main(["--prisma-schema", str(tmp_path / "schema.prisma"), "--out", str(tmp_path / "models"), "--locale", str(tmp_path / "de.yml")])
+    assert set(Registry.load(tmp_path / "models")) == {"Bed", "Plant", "Tool"} and (tmp_path / "de.yml").exists()
     main(["--prisma-schema", str(tmp_path / "schema.prisma"), "--dry-run"])
-    assert "with_posts" in capsys.readouterr().out
+    assert "with_plants" in capsys.readouterr().out
     assert write({}, tmp_path / "none") == []
