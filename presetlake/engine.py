@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -15,6 +16,7 @@ from presetlake.plans.frame import Context, Frame
 from presetlake.plans.shape import Shape, _sorted, model_preset, sort_columns
 from presetlake.sources.catalog import Catalog, json_rows
 from presetlake.sources.locale import Locale
+from presetlake.sources.scratch import store
 from presetlake.spec.loader import AGGREGATES, Registry
 from presetlake.spec.types import BadRequest, Preset
 
@@ -23,7 +25,7 @@ BROADCAST_PAGE = 10_000
 
 
 class Engine:
-    """Compiles requests to lazy DataFrames.
+    """Compiles requests to DataFrames; only a page that relations start from is computed, and stored, at once.
 
     ``lenient`` drops tests with unknown operators or values of the wrong kind instead of refusing them; ``child_cap``
     bounds the children of each relation over all parents together.
@@ -58,6 +60,8 @@ class Engine:
         if page_first and not frame.many:
             by += [F.col(f"`{k}`").asc_nulls_last() for k in keys]
             page, limit = self._sliced(frame.df.select("*", *hidden), by, request)
+            if preset and any(f.type in ("preset", "formatter", "nested_field", "computable") or f.formatter for f in preset.fields):
+                page = store(page.drop(*_unmentioned(frame, preset)))  # else each relation would compute it again
             frame.turn_page(page, few=limit <= BROADCAST_PAGE)
             shape = Shape(frame, preset)
             if frame.many:
@@ -172,6 +176,14 @@ class Engine:
         self.index(request).explain(mode)
 
 
+def _unmentioned(frame: Frame, preset: Preset) -> list[str]:
+    """Columns of the root table that the preset, its relations and computed columns can't need: no text there has their name."""
+    model = frame.root.model
+    texts = [*model.primary_keys, *(str(v) for part in (*preset.fields, *model.relations.values(), *model.computable.values()) for v in vars(part).values())]
+    words = set(re.findall(r"\w+", " ".join(texts)))
+    return [frame.root.name(c) for c in frame.root.types if c not in words]
+
+
 def _listed(sorts: Sequence[str] | str | None) -> list[str]:
     return [sorts] if isinstance(sorts, str) else list(sorts or ())
 

@@ -40,7 +40,7 @@ class Context:
 
     def view(self, table: str) -> str:
         """A temporary view of a table, for subqueries in computed columns."""
-        name = f"presetlake_{table}_{abs(hash(id(self.catalog)))}"
+        name = f"presetlake_{table}_{self.catalog.token}"
         self.catalog.table(table).createOrReplaceTempView(name)
         return name
 

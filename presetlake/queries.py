@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
-from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from presetlake.importers.catalog import from_tables
 from presetlake.sources import logs
 from presetlake.sources.catalog import Catalog
 from presetlake.sources.locale import Locale
+from presetlake.sources.scratch import own_path
 from presetlake.spec.loader import Registry
 
 _I, _S, _N = "int", "string", "float"
@@ -348,14 +348,10 @@ def import_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest purchases, from the events as a JSON log in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or "file://" + mkdtemp(prefix="presetlake-")
-    path = f"{base.rstrip('/')}/presetlake-log-{spark.sparkContext.applicationId}"
+    path = own_path(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = F.struct(F.lit("INFO").alias("level"), F.col("event_type").alias("msg"), F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user"))
-    events.orderBy("event_id").select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
+    events.orderBy("event_id").select(F.to_json(line).alias("value")).write.text(path)
     return logs.scan(spark, path, level="info", message="purchase", key="user", limit=50).select("level", "msg", F.col("fields")["id"].alias("id"))
 
 

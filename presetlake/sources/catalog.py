@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, tables: Mapping[str, object] | None = None):
         self.spark, self.folder = spark, folder
+        self.token = uuid.uuid4().hex  # part of the names of its temporary views
         self._found: dict[str, DataFrame] = {}
         self._later: dict[str, Callable[[], DataFrame]] = {}
         for name, source in (tables or {}).items():

@@ -143,14 +143,18 @@ def test_a_relation_filter_is_one_semi_join(spark):
     assert "LeftAnti" in plan(queries.QUERIES["filter_null_anti"](spark, SF))
 
 
-def test_a_page_is_cut_before_other_joins(spark):
+def test_a_page_is_computed_once_and_before_other_joins(spark):
     engine = queries.engine(spark, SF)
     page = engine.index({"model": "Order", "preset": "page", "sorts": ["o_totalprice DESC"], "limit": 5})
     text = page._jdf.queryExecution().optimizedPlan().toString()
-    below = text[text.index("GlobalLimit 5") :]
-    assert "c_name" not in below[: below.index("Relation")]
+    # All branches start from the stored page; the orders aren't read again.
+    assert "GlobalLimit" not in text and "o_orderpriority" not in text
+    physical = plan(page)
+    assert not [x for x in physical.splitlines() if "/orders.parquet" in x] and "/lineitem.parquet" in physical
     # Lines and customers are reduced to the page's, nations to these customers', regions to these nations'.
     assert text.count("LeftSemi") == 1 + 1 + 2 + 3
+    stored = next(x for x in physical.splitlines() if "FileScan" in x and "presetlake-" in x)
+    assert "orderstatus" not in stored  # what nothing mentions isn't in the page
 
 
 def test_unused_tables_are_never_opened(spark):
