@@ -7,7 +7,7 @@ template, into spans with the share of the template that they cover; the phrases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -24,16 +24,42 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices by which the licences are declared.
-TEMPLATES = {
-    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by": "This work is licensed under the Creative Commons Attribution 4.0 International License",
-    "cc-by-nc": "Licensed under CC BY-NC 4.0",
-    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+#: Notices by which the licences are declared, and the texts of the short ones.
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "apache": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    ),
+    "cc-by": (
+        "This work is licensed under the Creative Commons Attribution 4.0 International License",
+        "To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA",
+    ),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "gpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",),
 }
 #: Words of a long match, words between chained matches, covered share from which a span counts.
 LONG, GAP, COVERED = 4, 6, 0.6
@@ -47,44 +73,55 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES):
-        self.labels = list(templates)
-        own = [words(t) for t in templates.values()]
+    """Templates are texts, or several texts, by label. Phrases of one word are looked up, all others are in the automaton."""
+
+    def __init__(self, templates: Mapping[str, str | Sequence[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES):
+        listed = [(label, text) for label, texts in templates.items() for text in ([texts] if isinstance(texts, str) else texts)]
+        self.labels = [label for label, _ in listed]
+        own = [words(text) for _, text in listed]
         said = [(words(p), label) for p, label in phrases.items()]
         self.lengths = [len(x) for x in own]
+        self.longest = max(self.lengths, default=0)
         self.ids: dict[bytes, int] = {}
         texts = [[self.ids.setdefault(w, len(self.ids)) for w in x] for x in [*own, *(p for p, _ in said)]]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        #: For each state, where its substrings end first in each template.
-        self.ends: list[dict[int, int]] = [{}]
+        #: For each state, where its substrings end in each template.
+        self.ends: list[dict[int, set[int]]] = [{}]
         for k, text in enumerate(texts):
             last = 0
-            for at, token in enumerate(text):
+            for at, token in enumerate(text if k < len(own) or len(text) > 1 else ()):
                 last = self._extend(last, token)
                 if k < len(own):
-                    self.ends[last].setdefault(k, at + 1)
+                    self.ends[last].setdefault(k, set()).add(at + 1)
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for k, end in self.ends[state].items():
-                up = self.ends[self.link[state]]
-                up[k] = min(end, up.get(k, end))
-        marks: dict[int, tuple[int, str]] = {}
+            for k, ends in self.ends[state].items():
+                self.ends[self.link[state]].setdefault(k, set()).update(ends)
+        marks: dict[int, list[tuple[int, str]]] = {}
+        self.alone: dict[int, list[str]] = {}
         for (phrase, label), text in zip(said, texts[len(own) :]):
-            state = 0
-            for token in text:
-                state = self.next[state][token]
-            marks[state] = (len(phrase), label)
+            if len(text) == 1:
+                self.alone.setdefault(text[0], []).append(label)
+            elif text:
+                state = 0
+                for token in text:
+                    state = self.next[state][token]
+                marks.setdefault(state, []).append((len(phrase), label))
         #: For each state, the phrases that its substrings may end with.
         self.said: list[list[tuple[int, str]]] = [[] for _ in self.next]
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            self.said[state] = [*self.said[self.link[state]], *([marks[state]] if state in marks else [])]
-        n = len(self.ids) + 1
-        #: Word pairs that some template or phrase has; the last row and column stand for unknown words.
-        self.pair, self.opens = np.zeros((n, n), bool), np.zeros((n, n), bool)
-        for text in texts:
-            self.pair[text[:-1], text[1:]] = True
-        for text in texts[len(own) :]:
-            self.opens[text[0], text[1]] = True
+            self.said[state] = [*self.said[self.link[state]], *marks.get(state, [])]
+        #: Word pairs that some template or phrase has, and those that phrases begin with, as sorted numbers.
+        self.base = len(self.ids) + 1
+        key = lambda pairs: np.unique(np.array([a * self.base + b for a, b in pairs], np.int64))
+        self.pair = key(p for text in texts for p in zip(text, text[1:]))
+        self.opens = key((text[0], text[1]) for text in texts[len(own) :] if len(text) > 1)
+
+    def _known(self, table: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(table):
+            return np.zeros(len(left), bool)
+        keys = np.where((left >= 0) & (right >= 0), left * self.base + right, -1)
+        return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
     def _extend(self, last: int, token: int) -> int:
         if token in self.next[last]:
@@ -118,19 +155,18 @@ class Automaton:
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]:
         """Number of words; phrases' labels and starts; spans: label, first word, word after the last, covered share."""
         tokens = words(text)
-        if len(tokens) < 2:
-            return len(tokens), [], []
         ids = np.fromiter(map(self.ids.get, tokens, repeat(-1)), np.int64, len(tokens))
+        alone = [(label, at) for token, labels in self.alone.items() for at in np.flatnonzero(ids == token).tolist() for label in labels]
         left, right = ids[:-1], ids[1:]
-        joined = np.flatnonzero(self.pair[left, right])
+        joined = np.flatnonzero(self._known(self.pair, left, right))
         if not len(joined):
-            return len(tokens), [], []
+            return len(tokens), sorted(alone, key=lambda x: x[1]), []
         # Whatever is two words or longer lies in a run of known pairs; runs too short for any result are skipped.
         breaks = np.flatnonzero(np.diff(joined) > 1) + 1
         first, last = joined[np.concatenate([[0], breaks])], joined[np.concatenate([breaks - 1, [len(joined) - 1]])]
-        opened = np.concatenate([[0], np.cumsum(self.opens[left, right])])
+        opened = np.concatenate([[0], np.cumsum(self._known(self.opens, left, right))])
         useful = (last - first + 2 >= LONG) | (opened[last + 1] > opened[first])
-        said: list[tuple[str, int]] = []
+        said: list[tuple[str, int]] = alone
         matches: list[tuple[int, int, int]] = []  # start, end, state
         for begin, end in zip(first[useful].tolist(), (last[useful] + 2).tolist()):
             state = size = 0
@@ -148,34 +184,62 @@ class Automaton:
                 matches.append((end - size, end, state))
         return len(tokens), sorted(said, key=lambda x: x[1]), self._chains(matches)
 
+    def _anchors(self, matches: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """By template: first word and word after the last in the text, first word in the template.
+
+        A match stands at all its places in all templates; where a template has only a shorter end of it, that counts.
+        """
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for begin, end, state in matches:
+            seen: set[int] = set()
+            size = end - begin
+            while state > 0 and size >= LONG:
+                for k, ends in self.ends[state].items():
+                    if k not in seen:
+                        seen.add(k)
+                        out.setdefault(k, []).extend((end - size, end, until - size) for until in ends)
+                state = self.link[state]
+                size = min(size, self.length[state])
+        return out
+
     def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Greedy chains per template: a match joins the open chain if it follows in text and template within the gap."""
+        """For each template the chains of matches, in the order of text and template, that cover most of its words.
+
+        Matches of a chain are ``GAP`` words apart in the text at most; words that two of them share count once. The
+        longest chain is taken first, and then the longest of what is left.
+        """
         out: list[tuple[str, int, int, float]] = []
-        open_: dict[int, list[int]] = {}  # first word, word after the last, template end, covered words
-
-        def close(k: int) -> None:
-            begin, end, _, covered = open_.pop(k)
-            if covered >= COVERED * self.lengths[k]:
-                out.append((self.labels[k], begin, end, min(1.0, covered / self.lengths[k])))
-
-        for begin, end, state in sorted(matches):
-            for k, until in self.ends[state].items():
-                if k in open_:
-                    chain = open_[k]
-                    start = max(begin, chain[1], begin + chain[2] - (until - (end - begin)))
-                    if start < end and begin - chain[1] <= GAP and until > chain[2]:
-                        chain[1:] = end, until, chain[3] + end - start
-                        continue
-                    if end <= chain[1]:
-                        continue
-                    close(k)
-                open_[k] = [begin, end, until, end - begin]
-        for k in list(open_):
-            close(k)
+        for k, anchors in self._anchors(matches).items():
+            anchors = sorted(set(anchors))
+            score, before = [], []
+            for i, (begin, end, start) in enumerate(anchors):
+                best, last = end - begin, -1
+                for j in range(i - 1, -1, -1):
+                    b, e, s = anchors[j]
+                    if b + self.longest + GAP < begin:
+                        break
+                    shared = max(0, e - begin, s + e - b - start)
+                    if begin - e <= GAP and begin > b and start > s and shared < end - begin and score[j] + end - begin - shared > best:
+                        best, last = score[j] + end - begin - shared, j
+                score.append(best)
+                before.append(last)
+            used: set[int] = set()
+            for i in sorted(range(len(anchors)), key=lambda i: (-score[i], anchors[i])):
+                if score[i] < COVERED * self.lengths[k]:
+                    break
+                chain, at = [], i
+                while at >= 0 and at not in used:
+                    chain.append(at)
+                    at = before[at]
+                if at < 0:
+                    used.update(chain)
+                    first, stop = anchors[chain[-1]][0], anchors[i][1]
+                    if not any(x[0] == self.labels[k] and x[1] < stop and first < x[2] for x in out):
+                        out.append((self.labels[k], first, stop, min(1.0, score[i] / self.lengths[k])))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, phrases`` (label, start) and ``spans`` (label, start, stop, covered) of each row.
 
     Null and empty texts have no words. Overlapping places of phrases all count. Repeated rows and null ids each give
@@ -216,3 +280,17 @@ def digest(scanned: DataFrame) -> DataFrame:
         listed(F.concat(base, spans)).alias("labels"),
         F.when(F.size("phrases") > 0, 1.0).otherwise(share).alias("score"),
     )
+
+
+#: DuckDB SQL for ``doc_id`` and what the phrases decide.
+BASE_SQL = r"""
+WITH said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrase AS (
+  SELECT string_split(p, ' ') AS p, label FROM (VALUES %s) t(p, label)),
+place AS (
+  SELECT doc_id, i, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM said), phrase WHERE w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p)
+SELECT s.doc_id, len(any_value(w))::BIGINT AS n_words, count(i)::BIGINT AS n_base, (min(i) - 1)::BIGINT AS first_word, (max(i) - 1)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM said s LEFT JOIN place USING (doc_id) GROUP BY s.doc_id
+""" % ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())

@@ -84,3 +84,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, rows: int = ROWS, id_col: st
     )
     packed = sized.groupBy("pack").applyInPandas(_pack(capacity), "doc_id long, no_id boolean, part long, start_word long, n_words long, bin long, offset long")
     return packed.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "part", "start_word", "n_words", "bin", "offset")
+
+
+#: DuckDB SQL for the words and the number of parts of each document, over distinct ids.
+WORDS_SQL = f"""
+SELECT doc_id, n AS n_words, greatest(1, (n + {CAPACITY - 1}) // {CAPACITY})::BIGINT AS parts
+FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM documents)
+"""

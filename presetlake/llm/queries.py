@@ -65,12 +65,22 @@ def base_quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.measures(docs).alias("m")).select("doc_id", *(f"m.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), quality.base_failed().alias("base_failed"))
 
 
+def base_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that the phrases alone decide, for which there is SQL."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and words of each document in the bins of op1, for which there is SQL."""
+    return op1_best_fit_packing(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("parts"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_line_dedup, op4_byte_bpe, op5_language_id,
         op6_compression_quality, op7_license_scan, op8_quality_rules, op9_exact_top_k, op10_sharding,
-        base_quality_measures,
+        base_quality_measures, base_license_phrases, packed_words,
     )
 }
 
@@ -82,6 +92,8 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": linechunks.ORACLE_SQL,
         "op9_exact_top_k": topk.ORACLE_SQL,
         "base_quality_measures": quality.BASE_SQL,
+        "base_license_phrases": licenses.BASE_SQL,
+        "packed_words": packing.WORDS_SQL,
         "op10_sharding": f"""
 WITH placed AS (
   SELECT doc_id, (('0x' || substr(md5({key}), 1, 15))::BIGINT % {sharding.SLOTS})::INTEGER AS slot FROM documents),

@@ -339,15 +339,65 @@ def test_phrases_are_all_found(text):
 
 def test_templates_with_changes():
     automaton = licenses.Automaton()
-    for label, template in licenses.TEMPLATES.items():
-        words = template.split()
-        begin = len(plain_words("before it"))
-        _, _, spans = automaton.scan("before it " + " ".join(words) + " and after")
-        assert any(x == (label, begin, begin + len(plain_words(template)), 1.0) for x in spans)
-        if len(words) > 15:
-            _, _, spans = automaton.scan(" ".join([*words[:8], "changed", *words[9:]]))
-            assert any(x[0] == label and 0.6 <= x[3] < 1 for x in spans)
+    for label, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            words = template.split()
+            begin = len(plain_words("before it"))
+            _, _, spans = automaton.scan("before it " + " ".join(words) + " and after")
+            assert any(x == (label, begin, begin + len(plain_words(template)), 1.0) for x in spans)
+            if len(words) > 15:
+                _, _, spans = automaton.scan(" ".join([*words[:8], "changed", *words[9:]]))
+                assert any(x[0] == label and 0.6 <= x[3] < 1 for x in spans)
     assert automaton.scan("to any person in the software of the license for that")[2] == []
+    assert {x[0] for x in automaton.scan("\n".join(licenses.TEMPLATES["lgpl"]))[2]} >= {"lgpl"}
+
+
+def test_phrases_of_one_word_and_of_the_same_words():
+    automaton = licenses.Automaton({}, {"mit": "mit", "gpl v2": "gpl", "GPL-v2": "gpl2", "mit license": "full"})
+    assert sorted(automaton.scan("MIT, gpl v2; mit license")[1]) == [("full", 3), ("gpl", 1), ("gpl2", 1), ("mit", 0), ("mit", 3)]
+    assert automaton.scan("mit")[1] == [("mit", 0)] and automaton.scan("")[1] == [] and licenses.Automaton({}, {}).scan("a b") == (2, [], [])
+
+
+def plain_matches(tokens, templates):
+    """Longest matches that end at each word and that the next word doesn't make longer: first word, word after the last."""
+    held = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    size = [max((n for n in range(end + 1) if n == 0 or tuple(tokens[end - n : end]) in held), default=0) for end in range(len(tokens) + 1)]
+    return [(end - size[end], end) for end in range(1, len(tokens) + 1) if size[end] >= licenses.LONG and (end == len(tokens) or size[end + 1] <= size[end])]
+
+
+def plain_best_chain(tokens, template, templates):
+    """Most words of the template that a chain covers, by trying all chains."""
+    anchors = set()
+    for begin, end in plain_matches(tokens, templates):
+        n = next((n for n in range(end - begin, licenses.LONG - 1, -1) if any(template[s : s + n] == tokens[end - n : end] for s in range(len(template) - n + 1))), 0)
+        anchors |= {(end - n, end, s) for s in range(len(template) - n + 1) if n and template[s : s + n] == tokens[end - n : end]}
+    best = 0
+
+    def grow(chain, score):
+        nonlocal best
+        best = max(best, score)
+        b, e, s = chain[-1]
+        for begin, end, start in anchors:
+            shared = max(0, e - begin, s + e - b - start)
+            if begin > b and start > s and begin - e <= licenses.GAP and shared < end - begin:
+                grow([*chain, (begin, end, start)], score + end - begin - shared)
+
+    for a in anchors:
+        grow([a], a[1] - a[0])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=5, max_size=11), min_size=1, max_size=3), st.lists(st.one_of(st.sampled_from("abcdxy"), st.tuples(st.integers(0, 2), st.integers(0, 8), st.integers(3, 8))), max_size=9))
+def test_chains_cover_what_all_chains_can(templates, parts):
+    """Texts of single words and of pieces of the templates; the same piece may stand in several places."""
+    tokens = [t for p in parts for t in ([p] if isinstance(p, str) else templates[p[0] % len(templates)][p[1] : p[1] + p[2]])]
+    automaton = licenses.Automaton({f"t{k}": " ".join(t) for k, t in enumerate(templates)}, {})
+    _, _, spans = automaton.scan(" ".join(tokens))
+    for k, template in enumerate(templates):
+        share = plain_best_chain(tokens, template, templates) / len(template)
+        found = max((x[3] for x in spans if x[0] == f"t{k}"), default=0.0)
+        assert found == (min(1.0, share) if share >= licenses.COVERED else 0.0)
 
 
 @need_data
