@@ -196,13 +196,21 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Add ``bytes_col``, the bytes of the ids; null ids give null. A column of that name is replaced."""
+    """Add ``bytes_col``, the bytes of the ids; null ids, and lists that hold a null or an id that no token has, give null.
+
+    A column of that name is replaced.
+    """
     shared = _broadcast(df, vocabulary)
 
     @F.pandas_udf("binary")
     def run(column: pd.Series) -> pd.Series:
-        table = shared.value[1]
-        return pd.Series([None if ids is None else b"".join([table[i] for i in ids]) for ids in column])
+        table = dict(enumerate(shared.value[1]))
+
+        def one(ids) -> bytes | None:
+            parts = None if ids is None else [table.get(i) for i in np.asarray(ids).tolist()]
+            return None if parts is None or None in parts else b"".join(parts)
+
+        return pd.Series([one(ids) for ids in column])
 
     return df.withColumn(bytes_col, run(F.col(ids_col)))
 

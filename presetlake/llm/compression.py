@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presetlake.llm.common import fold, ship
+from presetlake.llm.common import discard, fold, ship, store
 
 #: Labelled rows of each class that are drawn, about, and blocks of their text that a dictionary is built from, at most;
 #: bytes of a dictionary and of a block; the level.
@@ -104,12 +104,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tupl
     # The drawn rows are 4 * sample at most; few rows of a class serve for both.
     few = [y for y in (0, 1) if seen.get(y, 0) < 6]
     third = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3)) == 0
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "y", (third | F.col("y").isin(few)).alias("curve"), (~third | F.col("y").isin(few)).alias("build"))
+    rows = store(texts.join(F.broadcast(drawn), "id").select("id", "text", "y", (third | F.col("y").isin(few)).alias("curve"), (~third | F.col("y").isin(few)).alias("build")))
     blocks = rows.where("build").select("y", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block"))
     order = [F.xxhash64("block"), "block"]
     taken = {y: [r["block"] for r in blocks.where(F.col("y") == y).orderBy(*order).limit(BLOCKS).select("block").collect()] for y in (1, 0)}
     model = Model(*(dictionary(taken[y]) if taken[y] else b"" for y in (1, 0)), 0.0, math.log(prior / (1 - prior)))
     if not (model.good and model.bad):
+        discard(rows)
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -119,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tupl
         return pd.Series([scorer.difference(t) for t in column], dtype="float64")
 
     curve = rows.where("curve").select("y", difference("text").alias("x")).orderBy("y", "x").limit(4 * sample).toPandas()
+    discard(rows)
     x, y = curve["x"].to_numpy(float), curve["y"].to_numpy(float)
     if len(set(y)) < 2:
         return model

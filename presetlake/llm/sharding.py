@@ -62,11 +62,17 @@ def place(docs: DataFrame, shards: Sequence[str], slots: int = SLOTS, id_col: st
     return keyed.join(F.broadcast(table), "slot").select("doc_id", "slot", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: Sequence[str], slots: int = SLOTS, files: int = 4) -> None:
-    """Write whole rows as Parquet, one folder for each shard; a salt deals each shard to ``files`` tasks."""
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+def write_shards(docs: DataFrame, path: str, shards: Sequence[str], slots: int = SLOTS, rows: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write whole rows as Parquet, one folder for each shard, ``shard_name=<name>``; columns must not be called so.
+
+    Rows are placed as by ``place``. A salt deals each shard to as many tasks as keep files at about ``rows`` rows; an
+    empty table writes none.
+    """
+    if "shard_name" in docs.columns:
+        raise ValueError("shard_name is the name of the folders and can't be a column")
+    files = max(1, -(-docs.count() // (rows * len(shards))))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(files)).alias("salt"))
     table = lookup(docs.sparkSession, fill(shards, slots)).select("slot", F.element_at(F.array(*map(F.lit, shards)), F.col("shard") + 1).alias("shard_name"))
-    key = F.coalesce(F.col("__id").cast("string"), F.col("__text"), F.lit(""))
-    placed = row.withColumn("slot", slot_of(key, slots)).join(F.broadcast(table), "slot")
-    salted = placed.repartition(len(shards) * files, "shard_name", F.pmod(F.xxhash64("__id", "__text"), F.lit(files)))
+    placed = row.withColumn("slot", slot_of(F.coalesce("id", "text", F.lit("")), slots)).join(F.broadcast(table), "slot")
+    salted = placed.repartition(len(shards) * files, "shard_name", "salt")
     salted.select("row.*", "shard_name").write.partitionBy("shard_name").parquet(path)

@@ -73,6 +73,22 @@ def test_packing_loses_nothing_and_keeps_apart(spark, documents):
     assert set(parts) == set(docs)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_bins_are_full(spark):
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("bin", "n_words").collect()
+    assert sum(r.n_words for r in rows) / (packing.CAPACITY * len({r.bin for r in rows})) > 0.96
+
+
+def test_clusters_of_a_column_stay_apart(spark):
+    rows = [(i, f"text {i} " * 3, None, "ab"[i % 2] if i < 8 else None) for i in range(20)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string, near string"), cluster_col="near").collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.bin].append(rows[r.doc_id][3])
+    held = [[c for c in b if c] for b in bins.values()]
+    assert all(len(set(h)) == len(h) for h in held) and sum(map(len, held)) == 8 and len(bins) == 4
+
+
 # 2 near-duplicates
 
 
@@ -272,6 +288,13 @@ def test_the_hash_is_perfect_and_minimal(tokenizer):
     assert bpe.PerfectHash([]).candidate(b"x") == -1
 
 
+def test_ids_that_no_token_has_decode_to_null(spark, tokenizer):
+    *_, path, pattern = tokenizer
+    df = spark.createDataFrame([(1, [0, 1]), (2, [0, 10**7]), (3, [-1]), (4, None), (5, [])], "n int, ids array<int>")
+    got = {r.n: r.decoded for r in bpe.decode(df, path).collect()}
+    assert got[1] and got[2] is got[3] is got[4] is None and got[5] == b""
+
+
 @need_data
 def test_digests(documents, tokenizer):
     theirs, _, path, pattern = tokenizer
@@ -552,6 +575,14 @@ def test_places_and_files(spark, documents, tmp_path):
     for r in sharding.place(documents, names, 101).collect():
         slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % 101
         assert (r.slot, r.shard) == (slot, names[owner[slot]])
-    sharding.write_shards(documents.withColumn("slot", F.lit("clash")), str(tmp_path / "out"), names, 101, files=2)
+    odd = documents.withColumn("slot", F.lit("clash")).withColumn("id", F.lit("clash")).union(spark.createDataFrame([(None, "a text", None, None, None, "s", "i"), (None, None, None, None, None, "s", "i")], documents.withColumn("slot", F.lit("")).withColumn("id", F.lit("")).schema))
+    sharding.write_shards(odd, str(tmp_path / "out"), names, 101, rows=30)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == documents.count() and {r.shard_name for r in back.select("shard_name").distinct().collect()} == set(names)
+    assert back.columns == [*odd.columns, "shard_name"] and sorted(map(str, back.drop("shard_name").collect())) == sorted(map(str, odd.collect()))
+    of = {r.doc_id: r.shard for r in sharding.place(odd, names, 101).collect()}
+    assert all(r.doc_id is None or r.shard_name == of[r.doc_id] for r in back.collect())
+    assert 3 < len(list((tmp_path / "out").rglob("*.parquet"))) <= 12
+    sharding.write_shards(odd.limit(0), str(tmp_path / "none"), names, 101)
+    assert not list((tmp_path / "none").rglob("shard_name=*"))
+    with pytest.raises(ValueError):
+        sharding.write_shards(back, str(tmp_path / "clash"), names, 101)
