@@ -81,6 +81,15 @@ def discard(*stored: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read in half as many splits or fewer, as a single small file is.
+
+    Costs a shuffle of what then is little for each core, and changes no row. What is read in more splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def fold(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id falls into fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)), F.lit(0)).cast("int")

@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presetlake.llm import bpe, compression, langid, licenses, linechunks, packing, quality, sharding, simhash, topk
-from presetlake.llm.common import store, table
+from presetlake.llm.common import spread, store, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Ids and texts of the whole table, for operators that spend far more on a text than its shuffle costs."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,24 +35,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(documents(spark, sf_dir), vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(documents(spark, sf_dir, "lang"))
 
 
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return compression.score(docs, compression.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality.judge(store(docs.select("doc_id", quality.measures(docs).alias("m"))))
 
 
