@@ -151,7 +151,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] | None
     share = F.create_map(*(F.lit(v) for r in seen for v in (r["lang"], max(min(1.0, sample / len(seen) / r["n"]) * (1 << 20), r["least"] + 1.0))))
     drawn = placed.withColumn("share", share[F.col("lang")]).select("lang", "id", "sig", "text", F.explode(F.expr("filter(blocks, b -> b.place < share)")).alias("b"))
     whole = f"substring(text, cast(b.k * {BLOCK} as int) + 1, if(b.k = greatest(1, length(text) div {BLOCK}) - 1, {2 * BLOCK}, {BLOCK}))"
-    picked = drawn.select("lang", F.expr(whole).alias("text"), "b.place", "id", "sig", "b.k").orderBy("place", "id", "sig", "k", "lang").limit(2 * sample).select("text", "lang").toPandas()
+    picked = drawn.select("lang", F.expr(whole).alias("text"), "id", "sig", "b.k").orderBy(F.xxhash64(F.lit("order"), "id", "sig", "k"), "id", "sig", "k", "lang").limit(2 * sample).select("text", "lang").toPandas()
     index = {lang: i for i, lang in enumerate(languages)}
     vectors = [(*_vector(t, idf), index[lang]) for t, lang in zip(picked["text"], picked["lang"])]
     few = len(vectors) < 50
