@@ -47,9 +47,10 @@ def has_letter(text: str | None) -> bool:
 
 
 def _vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their TF-IDF weights, of length 1; a count enters by its logarithm, so that repeats don't outweigh the rest."""
     found = counts(text)
     at = np.flatnonzero(found)
-    x = found[at] * idf[at]
+    x = np.log1p(found[at]) * idf[at]
     return at, x / max(float(np.sqrt(x @ x)), 1e-12)
 
 
