@@ -20,6 +20,9 @@ from presetlake.spec.types import BadRequest, Field, Model, ModelError, Preset,
 
 Hops = dict[tuple[str, str], int]
 
+#: Rows of one parent that share a task when the parent's array is attached to each.
+SHARE = 10_000
+
 
 @dataclass
 class Leaf:
@@ -185,7 +188,7 @@ class Shape:
 
     def hydrate(self, df: DataFrame, keys_from: DataFrame | None = None) -> DataFrame:
         """Attach late aggregates and tails. ``keys_from`` has the rows whose children are wanted, if not all and if no page says so."""
-        frame = self.frame
+        frame, self._bare = self.frame, df
         for late in self.late:
             inner = Frame(self.context, frame.root.model)
             keys = frame.root.keys()
@@ -246,8 +249,30 @@ class Shape:
             listed = F.collect_list(F.struct(*names, F.col("v")))
             made = rows.groupBy(key).agg(F.transform(F.array_sort(listed, _comparator(names, downs)), lambda x: x["v"]).alias(tail.column))
         tail.type = made.schema[tail.column].dataType
+        if relation.type == "has_many" and tail.path and self.frame.page is None:
+            return self._shared(df, tail, made, key)
         return df.join(made, F.col(f"`{tail.key}`") == F.col(key), "left").drop(key)
 
+    def _shared(self, df: DataFrame, tail: Tail, made: DataFrame, key: str) -> DataFrame:
+        """Attach arrays of parents that many rows share.
+
+        Rows of one parent may be few bytes and yet many elements, so a parent with over ``SHARE`` rows has its array
+        repeated for every so many of them, and these go to different tasks. There is at most one such parent for
+        ``SHARE`` rows, so that their keys can be broadcast.
+        """
+        parent, kinds = F.col(f"`{tail.key}`"), dict(self._bare.dtypes)
+        spread = [k for k in self.frame.root.keys() if k in kinds] or [c for c, kind in kinds.items() if not kind.startswith(("array", "map", "struct", "variant"))]
+        owner, shares, share, other = (self.context.fresh("h") for _ in range(4))
+        hot = F.broadcast(self._bare.groupBy(parent.alias(owner)).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias(shares)).where(F.col(shares) > 1))
+        place = F.coalesce(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread)), F.col(shares)), F.lit(0))
+        rows = df.join(hot, parent.eqNullSafe(F.col(owner)), "left").withColumn(share, place).drop(owner, shares)
+        places = F.sequence(F.lit(0), F.coalesce(F.col(shares), F.lit(1)) - 1)
+        made = made.join(hot, F.col(key) == F.col(owner), "left").withColumn(other, F.explode(places)).drop(owner, shares)
+        # A given number of parts, as joining them by their bytes wouldn't see what they make.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows, made = rows.repartition(parts, parent, F.col(share)), made.repartition(parts, F.col(key), F.col(other))
+        return rows.join(made.hint("merge"), (parent == F.col(key)) & (F.col(share) == F.col(other)), "left").drop(key, share, other)
+
     def _polymorphic(self, df: DataFrame, tail: Tail, source: DataFrame | None) -> DataFrame:
         """The parents of all models that have the preset, in one table with the model's name; they join once."""
         found, context = None, self.context

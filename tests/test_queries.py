@@ -1,13 +1,19 @@
 """Every catalogue query against its SQL, random filters against SQL, and the plans that make them scale."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from presetlake import queries
+from presetlake.engine import Engine
+from presetlake.plans import shape
+from presetlake.sources.catalog import Catalog
+from presetlake.spec.loader import Registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -157,5 +163,30 @@ def test_a_page_is_computed_once_and_before_other_joins(spark):
     assert "orderstatus" not in stored  # what nothing mentions isn't in the page
 
 
+@pytest.mark.parametrize("limit", [2, 10_000])
+def test_rows_that_share_a_parent_with_children_go_to_several_tasks(spark, duck, monkeypatch, limit):
+    monkeypatch.setattr(shape, "SHARE", limit, raising=False)
+    df = queries.QUERIES["under_belongs_to"](spark, SF)
+    assert rows_of(df.columns, df.collect()) == rows_of(df.columns, duck.execute(queries.SQL["under_belongs_to"]).fetchall())
+    rows = queries.engine(spark, SF).index({"model": "Customer", "preset": "market"})
+    placed = {tuple(r) for r in rows.select("nation.n_nationkey", F.spark_partition_id()).collect()}
+    assert len({task for _, task in placed}) > 1
+    assert (max(Counter(nation for nation, _ in placed).values()) > 1) == (limit == 2)
+
+
+def test_rows_without_their_parent_stay(spark, monkeypatch):
+    monkeypatch.setattr(shape, "SHARE", 2, raising=False)
+    tables = {"a": spark.sql("SELECT id, nullif(id % 3, 0) AS up FROM range(30)"), "b": spark.sql("SELECT id FROM range(3)"), "c": spark.sql("SELECT id, id div 9 + 1 AS up FROM range(4)")}
+    models = {
+        "A": {"table": "a", "primary_keys": "id", "relations": {"b": {"type": "belongs_to", "model": "B", "fk": "up", "pk": "id"}}, "presets": {"x": {"fields": [{"source": "id", "type": "int"}, {"source": "b", "type": "preset", "preset": "x"}]}}},
+        "B": {"table": "b", "primary_keys": "id", "relations": {"c": {"type": "has_many", "model": "C", "fk": "up", "pk": "id"}}, "presets": {"x": {"fields": [{"source": "id", "type": "int"}, {"source": "c", "type": "preset", "preset": "x"}]}}},
+        "C": {"table": "c", "primary_keys": "id", "presets": {"x": {"fields": [{"source": "id", "type": "int"}]}}},
+    }
+    rows = Engine(Registry(models), Catalog(spark, tables=tables)).index({"model": "A", "preset": "x"})
+    got = {r.id: (None if r.b is None else (r.b.id, [c.id for c in r.b.c])) for r in rows.collect()}
+    assert got == {i: None if i % 3 == 0 else (i % 3, [0, 1, 2, 3] if i % 3 == 1 else []) for i in range(30)}
+    assert len({r.task for r in rows.select("b", F.spark_partition_id().alias("task")).collect() if r.b is None}) > 1
+
+
 def test_unused_tables_are_never_opened(spark):
     assert not queries.engine(spark, SF).catalog._found
