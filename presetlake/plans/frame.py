@@ -78,6 +78,8 @@ class Frame:
         self.df, node = self._table(model)
         self.nodes: dict[Path, Node] = {(): node}
         self._computed: dict[tuple, str] = {}
+        #: Aggregates of the root, with their texts, that the output needs: made with others of the same relation.
+        self.awaited: dict[str, str] = {}
         self.page: DataFrame | None = None
         self.few = False
         self._reached: dict[Path, DataFrame] = {}
@@ -276,20 +278,65 @@ class Frame:
         return Value(F.col(made), self.df.schema[made].dataType)
 
     def _aggregate(self, path: Path, node: Node, text: str, made: str) -> None:
-        """Aggregate relations for each row of the node's own table, before they could repeat rows here.
-
-        A row without children sees one child of nulls, so the keys come from a left join. That join deals both sides
-        by the key, which the aggregate then needs no other shuffle for.
-        """
-        inner = Frame(self.context, node.model)
-        sql = inner._sql((), inner.root, text)
+        """Aggregate relations for each row of the node's own table, before they could repeat rows here."""
         keys = [k for k in node.model.primary_keys if k in node.types]
         if not keys:
             raise BadRequest(f"{node.model.name} needs primary_keys for aggregates")
+        if (relation := self.summed_relation(node, text)) is not None:
+            texts = {made: text}
+            for name, other in self.awaited.items() if not path else ():
+                if other != text and ((), name, other) not in self._computed and self.summed_relation(node, other) == relation:
+                    self._computed[((), name, other)] = column = self.context.fresh("c")
+                    texts[column] = other
+            self.df = self.attach_sums(self.df, node.col(relation.pk), relation, texts)
+            return
+        inner = Frame(self.context, node.model)
+        sql = inner._sql((), inner.root, text)
         per_row = inner.df.groupBy(*(inner.root.col(k).alias(f"{made}_{k}") for k in keys)).agg(F.expr(sql).alias(made))
         on = [node.col(k) == F.col(f"{made}_{k}") for k in keys]
         self.df = self.df.join(per_row, on, "left").drop(*(f"{made}_{k}" for k in keys))
 
+    def summed_relation(self, node: Node, text: str) -> Relation | None:
+        """The one relation that an aggregate reads, if its children can be grouped before they meet their parents."""
+        paths = {self._placeholder(node.model, inside, after)[0] for inside, after in fragments.placeholders(text)}
+        if len({p[:1] for p in paths}) != 1 or not all(paths):
+            return None
+        inner = Frame(self.context, node.model)
+        for path in paths:
+            inner.guard(path)
+        relation = self.step(node.model, next(iter(paths))[0])
+        own: list[str] = []
+        fragments.rewrite(text, lambda inside, after: "", lambda c: own.append(c) or "", node.types)
+        if own or not relation.many or relation.through or relation.pk not in node.types:
+            return None
+        kinds = node.types[relation.pk], Frame(self.context, self.context.registry[relation.model]).root.types.get(relation.fk)
+        alike = kinds[0] == kinds[1] or all(isinstance(k, T.IntegralType) for k in kinds)  # else several foreign keys may equal one key
+        return relation if alike else None
+
+    def attach_sums(self, rows: DataFrame, parent: Column, relation: Relation, texts: dict[str, str], source: DataFrame | None = None) -> DataFrame:
+        """Add columns with aggregates of a relation's children, by the parent's key; with a source, for its rows only.
+
+        Children are grouped before the join, so that no task sorts or groups them all together with their parents. A
+        parent without children sees one child of nulls: what that gives is worked out once.
+        """
+        child = Frame(self.context, self.context.registry[relation.model])
+        if relation.where:
+            child.df = child.df.where(child.condition(child.root, relation.where))
+        fk = child.root.col(relation.fk)
+        child.df = self.reduce(child.df.where(fk.isNotNull()), fk, source, parent)
+        key, lone = self.context.fresh("k"), {name: self.context.fresh("d") for name in texts}
+        sqls = {name: fragments.rewrite(fragments.strip_select(text), child._column_of, str, ()) for name, text in texts.items()}
+        grouped = child.df.groupBy(fk.alias(key)).agg(*(F.expr(sql).alias(name) for name, sql in sqls.items()))
+        nulls = rows.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in child.df.schema.fields))
+        nothing = nulls.agg(*(F.expr(sql).alias(lone[name]) for name, sql in sqls.items()))
+        rows = rows.join(grouped, parent == F.col(key), "left").crossJoin(F.broadcast(nothing))
+        return rows.withColumns({n: F.when(F.col(key).isNull(), F.col(d)).otherwise(F.col(n)) for n, d in lone.items()}).drop(key, *lone.values())
+
+    def _column_of(self, inside: str, after: str) -> str:
+        """The column of a parent's placeholder, whose first step leads to this frame's root."""
+        path, column = self._placeholder(self.root.model, inside, after)
+        return f"`{self.ensure(path[1:]).name(column)}`"
+
 
 def _equal(left: Column, right: Column) -> Column:
     return left == right

@@ -40,6 +40,7 @@ class Late:
     name: str
     column: str = ""
     type: T.DataType = field(default_factory=T.NullType)
+    relation: Relation | None = None  # if its children can be grouped on their own
 
 
 @dataclass
@@ -133,7 +134,10 @@ class Shape:
             text = node.model.computable[f.source].source
             if is_aggregate(text) and (path, f.source, text) not in self.frame._computed and not path and node.keys():
                 self.columns |= dict.fromkeys(node.keys())
-                self.late.append(Late(path, f.source, self.context.fresh("c")))
+                relation = self.frame.summed_relation(node, text)
+                if relation:
+                    self.columns[node.name(relation.pk)] = None
+                self.late.append(Late(path, f.source, self.context.fresh("c"), relation=relation))
                 return self.late[-1]
         return self._leaf(path, f.source)
 
@@ -189,10 +193,15 @@ class Shape:
     def hydrate(self, df: DataFrame, keys_from: DataFrame | None = None) -> DataFrame:
         """Attach late aggregates and tails. ``keys_from`` has the rows whose children are wanted, if not all and if no page says so."""
         frame, self._bare = self.frame, df
-        for late in self.late:
+        source = frame.page if frame.page is not None else keys_from
+        for relation in {x.relation.name: x.relation for x in self.late if x.relation}.values():
+            lates = [x for x in self.late if x.relation == relation]
+            df = frame.attach_sums(df, frame.root.col(relation.pk), relation, {x.column: frame.root.model.computable[x.name].source for x in lates}, source)
+            for late in lates:
+                late.type = df.schema[late.column].dataType
+        for late in (x for x in self.late if not x.relation):
             inner = Frame(self.context, frame.root.model)
             keys = frame.root.keys()
-            source = frame.page if frame.page is not None else keys_from
             if source is not None:
                 wanted = source.select(*(F.col(f"`{k}`").alias(f"w_{k}") for k in keys)).distinct()
                 on = [inner.root.col(k) == F.col(f"`w_{frame.root.prefix}{k}`") for k in self._key_names()]

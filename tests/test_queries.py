@@ -188,5 +188,64 @@ def test_rows_without_their_parent_stay(spark, monkeypatch):
     assert len({r.task for r in rows.select("b", F.spark_partition_id().alias("task")).collect() if r.b is None}) > 1
 
 
+def scans(df):
+    return Counter(table for line in plan(df).splitlines() if "FileScan" in line for table in ("orders", "lineitem") if f"/{table}.parquet" in line)
+
+
+def test_aggregates_of_a_relation_are_grouped_once_before_their_parents_join(spark):
+    df = queries.QUERIES["comp_has_many_select"](spark, SF)
+    assert scans(df) == {"orders": 1, "lineitem": 1}
+    below = plan(df).split("SortMergeJoin")[-1].split("BroadcastHashJoin")[-1]
+    assert "functions=[sum(" in below  # the join's input, not what it makes
+
+
+#: Aggregates over children, with what SQL says over the left join.
+AGGREGATES = {
+    "n": ("count({c}.id)", "count(c.id)"),
+    "given": ("sum(coalesce({c}.v, 7))", "sum(coalesce(c.v, 7))"),
+    "least": ("coalesce(min({c}.v), -1)", "coalesce(min(c.v), -1)"),
+    "none": ("max({c}.v) is null", "max(c.v) IS NULL"),
+    "deep": ("coalesce(sum({c.d}.w), 0)", "coalesce(sum(d.w), 0)"),
+    "own": ("sum({c}.v * main.f)", "sum(c.v * p.f)"),
+    "big": ("max({b}.v)", "max(CASE WHEN c.v > 2 THEN c.v END)"),
+    "worded": ("count({s}.id)", "count(c.id)"),
+}
+
+
+@pytest.mark.parametrize("request_", [{}, {"limit": 3, "sorts": ["id DESC"]}, {"filters": {"n__gte": 0}}, {"sorts": ["given DESC", "id"], "limit": 4}, {"filters": {"n": 0}}])
+def test_aggregates_over_children_as_sql_says(spark, request_):
+    tables = {
+        "p": spark.sql("SELECT id, id * 2 AS f FROM range(6)"),
+        "c": spark.sql("SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE int(id % 4) END AS up, nullif(id % 7, 3) AS v, id % 3 AS d_id FROM range(23)"),
+        "d": spark.sql("SELECT id, id + 10 AS w FROM range(2)"),
+        "s": spark.sql("SELECT id, concat('0', id % 4) AS up FROM range(23) WHERE id % 5 <> 0 UNION ALL SELECT 40, '1' UNION ALL SELECT 41, '01'"),
+    }
+    many = {"type": "has_many", "fk": "up", "pk": "id"}
+    models = {
+        "P": {
+            "table": "p", "primary_keys": "id", "presets": {"x": {"fields": [{"source": "id", "type": "int"}, *({"source": n, "type": "computable"} for n in AGGREGATES)]}},
+            "computable": {n: {"source": text, "type": "int"} for n, (text, _) in AGGREGATES.items()},
+            "relations": {"c": many | {"model": "C"}, "b": many | {"model": "C", "where": ".v > 2"}, "s": many | {"model": "S"}},
+        },
+        "C": {"table": "c", "primary_keys": "id", "relations": {"d": {"type": "belongs_to", "model": "D", "fk": "d_id", "pk": "id"}}, "presets": {}},
+        "D": {"table": "d", "primary_keys": "id", "presets": {}}, "S": {"table": "s", "primary_keys": "id", "presets": {}},
+    }
+    got = [tuple(r) for r in Engine(Registry(models), Catalog(spark, tables=tables)).index({"model": "P", "preset": "x", **request_}).collect()]
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name + "_", df.toPandas())
+        con.execute(f"CREATE TABLE {name} AS SELECT {', '.join(f'CAST({c} AS {k}) AS {c}' for c, k in df.dtypes)} FROM {name}_")
+    sums = ", ".join(f"{sql} AS {n}" for n, (_, sql) in AGGREGATES.items() if n != "worded")
+    sql = f"SELECT x.*, (SELECT count(*) FROM s WHERE CAST(up AS BIGINT) = x.id) AS worded FROM (SELECT p.id, {sums} FROM p LEFT JOIN c ON c.up = p.id LEFT JOIN d ON d_id = d.id GROUP BY p.id) x"
+    want = con.execute(sql).fetchall()
+    if "filters" in request_:
+        want = [r for r in want if (r[1] == 0 if "n" in request_["filters"] else True)]
+    if "sorts" in request_:
+        want.sort(key=(lambda r: -r[0]) if request_["sorts"][0] == "id DESC" else (lambda r: (r[2] is not None, -(r[2] or 0), r[0])))
+        assert got == want[: request_["limit"]]
+    else:
+        assert sorted(got) == sorted(want)
+
+
 def test_unused_tables_are_never_opened(spark):
     assert not queries.engine(spark, SF).catalog._found
