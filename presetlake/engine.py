@@ -51,6 +51,8 @@ class Engine:
         preset = model_preset(frame.root.model, request.get("preset") or "")
         sorts = _listed(request.get("sorts"))
         used = [p for s in sorts for p in self._sort_paths(frame, preset, s)]
+        computable = {f.source: frame.root.model.computable[f.source].source for f in preset.fields if f.source in frame.root.model.computable}
+        frame.awaited = {name: text for name, text in computable.items() if is_aggregate(text) and name not in frame.root.types}
         filters.apply(frame, request.get("filters"), used)
         order = sort_columns(frame.context, frame, preset, sorts)
         names = [frame.context.fresh("s") for _ in order]

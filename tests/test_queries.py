@@ -199,6 +199,13 @@ def test_aggregates_of_a_relation_are_grouped_once_before_their_parents_join(spa
     assert "functions=[sum(" in below  # the join's input, not what it makes
 
 
+@pytest.mark.parametrize("name", ["comp_has_many_filter", "count_comp_filter"])
+def test_a_filter_and_the_output_share_the_aggregates_of_a_relation(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    assert scans(df) == {"orders": 1, "lineitem": 1}
+    assert plan(df).count("Join") - plan(df).count("BroadcastNestedLoopJoin") == 1
+
+
 #: Aggregates over children, with what SQL says over the left join.
 AGGREGATES = {
     "n": ("count({c}.id)", "count(c.id)"),
